@@ -17,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, id_bounds, id_key, range_of, table, text_of
+from .common import NULL_ID, cut, id_bounds, id_key, range_of, table, text_of
 
 #: White space after NFKC: Java's \s and the separators that NFKC leaves.
 SPACE = r"[\s\x85\x{1680}\x{2028}\x{2029}]+"
+#: Digests of clashing buckets up to which they are broadcast, 32 bytes each.
+MOST_BROADCAST = 1_000_000
 
 
 def fold(text: Column) -> Column:
@@ -44,8 +46,13 @@ def collisions(rows: DataFrame, folded: str, mark: str) -> DataFrame:
 
 
 def told_apart(rows: DataFrame, folded: str, mark: str, clashing: DataFrame) -> DataFrame:
-    """Extend the digests of buckets whose folded texts differ."""
+    """Extend the digests of buckets whose folded texts differ; without such buckets nothing is joined."""
+    n = clashing.count()
+    if n == 0:
+        return rows
     clash = clashing.select(F.col("__mark"), F.lit(True).alias("__clash"))
+    if n <= MOST_BROADCAST:
+        clash = F.broadcast(clash)
     long = F.concat(F.col(mark), F.lit("-"), F.sha2(F.col(folded), 256))
     return rows.join(clash, F.col(mark) == F.col("__mark"), "left").withColumn(mark, F.when(F.col("__clash"), long).otherwise(F.col(mark))).drop("__mark", "__clash")
 
@@ -53,32 +60,40 @@ def told_apart(rows: DataFrame, folded: str, mark: str, clashing: DataFrame) ->
 def fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
     """``docs`` with the exact digest of its text in ``out``."""
     rows = docs.withColumn("__folded", fold(text_of(text_col))).withColumn(out, digest(F.col("__folded")))
-    return told_apart(rows, "__folded", out, collisions(rows, "__folded", out)).drop("__folded")
+    return told_apart(rows, "__folded", out, cut(collisions(rows, "__folded", out))).drop("__folded")
 
 
-def next_ids(docs: DataFrame, key: str) -> DataFrame:
-    """Each distinct ``key`` and the next larger one as ``__next``; after the last comes the first.
+def next_ids(ids: DataFrame, key: str) -> DataFrame:
+    """``ids`` (distinct in ``key``) with the next larger key as ``__next``; after the last comes the first.
 
     Ranges cut at values that occur, so the next of a range's last key is the next range's first.
     """
-    ids = docs.select(key).distinct()
-    n = ids.count()
-    bounds = id_bounds(ids, key, n)
+    bounds = id_bounds(ids, key, ids.count())
     if not bounds:
         return ids.withColumn("__next", F.col(key))
     firsts = F.array(*[F.lit(b).cast("long") for b in [*bounds[1:], bounds[0]]])
     ranged = ids.withColumn("__range", range_of(F.col(key), bounds))
     after = F.lead(key).over(Window.partitionBy("__range").orderBy(key))
-    return ranged.select(key, F.coalesce(after, F.get(firsts, F.col("__range"))).alias("__next"))
+    return ranged.withColumn("__next", F.coalesce(after, F.get(firsts, F.col("__range")))).drop("__range")
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and ``next_text``, the text of the next id (its smallest text, should an id repeat)."""
-    rows = docs.select(id_key(id_col).alias("__key"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    order = next_ids(rows, "__key")
-    first = rows.select("__key", "text").withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy("text"))).filter("__n = 1")
-    after = order.join(first.select(F.col("__key").alias("__next"), F.col("text").alias("next_text")), "__next").select("__key", "next_text")
-    return rows.join(after, "__key").drop("__key")
+def with_next(docs: DataFrame, clashing: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, ``next_mark`` (the next id's digest) and ``next_head``: the next id's text, cut to a quarter of the
+    own text's code points.
+
+    (Its smallest text, should the next id repeat.)  Texts are shuffled once, by id; both sides of the join read
+    that exchange, and only heads are shuffled again.
+    """
+    rows = docs.select(id_key(id_col).alias("__key"), text_of(text_col).alias("text"))
+    quarter = F.floor(F.length("text") / 4).cast("int")
+    ids = cut(rows.select("__key", quarter.alias("__q")).groupBy("__key").agg(F.max("__q").alias("__q")))
+    order = next_ids(ids, "__key").select(F.col("__key").alias("__of"), "__q", "__next")
+    dealt = rows.repartition(F.col("__key"))
+    first = dealt.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy("text"))).filter("__n = 1").withColumn("__folded", fold(F.col("text")))
+    first = told_apart(first.withColumn("next_mark", digest(F.col("__folded"))), "__folded", "next_mark", clashing)
+    heads = first.join(order, F.col("__key") == F.col("__next")).select("__of", F.substring("text", F.lit(1), F.col("__q")).alias("__head"), "next_mark")
+    met = dealt.join(heads, F.col("__key") == F.col("__of"))
+    return met.select(F.nullif("__key", F.lit(NULL_ID)).alias("doc_id"), "text", F.substring("__head", F.lit(1), quarter).alias("next_head"), "next_mark")
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,18 +101,17 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     own = docs.select(fold(text_of()).alias("__folded")).withColumn("__digest", digest(F.col("__folded")))
     clashing = cut(collisions(own, "__folded", "__digest"))
-    n, q = F.col("n_chars").cast("int"), F.floor(F.col("n_chars") / 4).cast("int")
-    rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
-    rows = rows.withColumn("__edited", F.concat(F.substring("text", F.lit(1), n - q), F.substring("next_text", F.lit(1), q)))
+    rows = with_next(docs, clashing).withColumn("n_chars", F.length("text").cast("long"))
+    kept = (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")
+    rows = rows.withColumn("__edited", F.concat(F.substring("text", F.lit(1), kept), F.col("next_head")))
     rows = rows.select(
         "doc_id",
         "n_chars",
+        "next_mark",
         F.sha2("__edited", 256).alias("edited_sha256"),
         fold(F.col("text")).alias("__folded"),
         fold(F.col("__edited")).alias("__edited_folded"),
-        fold(F.col("next_text")).alias("__next_folded"),
     ).withColumns({"fingerprint": digest(F.col("__folded")), "edited_fingerprint": digest(F.col("__edited_folded"))})
-    rows = rows.withColumn("near_next", (F.col("__folded") == F.col("__next_folded")).cast("double")).drop("__next_folded")
     rows = told_apart(rows, "__folded", "fingerprint", clashing)
     rows = told_apart(rows, "__edited_folded", "edited_fingerprint", clashing)
     return rows.select(
@@ -107,5 +121,5 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "fingerprint",
         "edited_fingerprint",
         (F.col("__folded") == F.col("__edited_folded")).cast("double").alias("near_edited"),
-        "near_next",
+        (F.col("fingerprint") == F.col("next_mark")).cast("double").alias("near_next"),
     )
