@@ -20,8 +20,8 @@ def grams(t: Column, cjk: Column) -> Column:
 
 def share_found(of: Column, among: Column) -> Column:
     """Share of the items of ``of``, repeats counted, that occur in ``among``; 0 without items."""
-    known = F.array_distinct(among)
-    return F.when(F.size(of) > 0, F.size(F.filter(of, lambda x: F.array_contains(known, x))) / F.size(of)).otherwise(0.0)
+    share = lambda x, known: F.when(F.size(x) > 0, F.size(F.filter(x, lambda g: F.array_contains(known, g))) / F.size(x)).otherwise(0.0)
+    return text.let(F.array_distinct(among), lambda known: text.let(of, lambda x: share(x, known)))
 
 
 def copy_5gram(draft: Column, output: Column) -> Column:
@@ -46,10 +46,13 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def fact_recall(draft: Column, output: Column) -> Column:
     """Share of the draft's facts that are facts of the output, or stand in it without blanks; 1 without facts."""
-    own, there = text.facts(draft), text.facts(output)
     plain = F.regexp_replace(F.lower(F.coalesce(output, F.lit(""))), r"(?U)\s+", "")
-    kept = F.filter(own, lambda x: F.array_contains(there, x) | F.contains(plain, F.replace(x, F.lit(","), F.lit(""))))
-    return F.when(F.size(own) > 0, F.size(kept) / F.size(own)).otherwise(1.0)
+
+    def share(own: Column, seen: Column) -> Column:
+        kept = F.filter(own, lambda x: F.array_contains(seen["facts"], x) | F.contains(seen["plain"], F.replace(x, F.lit(","), F.lit(""))))
+        return F.when(F.size(own) > 0, F.size(kept) / F.size(own)).otherwise(1.0)
+
+    return text.let(F.struct(text.facts(output).alias("facts"), plain.alias("plain")), lambda seen: text.let(text.facts(draft), lambda own: share(own, seen)))
 
 
 def para_kept(draft: Column, output: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,10 +31,19 @@ def words(t: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(_text(t)), "’‘`´", "''''"), F.lit("([a-z0-9']+)"), F.lit(1))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, computed once: inside a lambda an outer expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def windows(items: Column, n: int) -> Column:
     """All runs of n items; none where there are fewer (sequence would count down)."""
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(items) - (n - 1), F.lit(1))), lambda i: F.size(items) >= n)
-    return F.transform(starts, lambda i: F.slice(items, i, n))
+    empty = F.array().cast("array<int>")
+
+    def runs(x: Column) -> Column:
+        return F.transform(F.when(F.size(x) >= n, F.sequence(F.lit(1), F.size(x) - (n - 1))).otherwise(empty), lambda i: F.slice(x, i, n))
+
+    return let(items, runs)
 
 
 def content_tokens(t: Column) -> Column:

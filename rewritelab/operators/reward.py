@@ -51,7 +51,7 @@ def score(rows: DataFrame, weight: float = 8.0) -> DataFrame:
     """rows: critical, minor, n_invented, reversed_meaning, register_kept, format_kept, greeting_signoff_kept, reuse, hard (null or reason), judged."""
     c = F.col
     lost = lambda k, w: F.when(is_false(c(k)), w).otherwise(0.0)
-    total = -(
+    total = 0.0 - (
         c("critical") * fixed.W_CRITICAL
         + c("minor") * fixed.W_MINOR
         + c("n_invented") * fixed.W_INVENTED

@@ -40,6 +40,11 @@ def _of(template: str, t: str) -> str:
     return template.replace("{t}", t)
 
 
+def _ascii(t: str) -> str:
+    """For patterns with word edges: here they see ASCII only, so other letters become one."""
+    return f"regexp_replace({t}, '[^\\x00-\\x7F]', 'z', 'g')"
+
+
 _HAN = "[㐀-䶿一-鿿豈-﫿]"
 _NUM = fixed.NUMBER_LIKE.replace("'", "''")
 
@@ -89,7 +94,7 @@ _FACTS = rf"""list_distinct(list_transform(flatten(list_transform(
  lambda x: CASE WHEN regexp_full_match(x, '\d+(?:[.,:/-]\d+)*%?') THEN list_concat([replace(x, ',', '')], list_filter(string_split_regex(rtrim(replace(x, ',', ''), '%'), '[/:-]'), lambda p: p <> '')) ELSE [x] END)), lambda x: lower(x)))"""
 
 
-@query(f"SELECT doc_id, array_to_string(list_sort({_of(_FACTS, 'text')}), '|') AS facts FROM documents")
+@query(f"SELECT doc_id, array_to_string(list_sort({_of(_FACTS, _ascii('text'))}), '|') AS facts FROM documents")
 def facts(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(text.facts(F.col("text"))), "|").alias("facts"))
 
@@ -170,7 +175,7 @@ def copy_5gram(spark, sf):
 
 
 @query(f"""WITH {_PAIRS}, s AS (SELECT *, {_of(_SKEL, 'draft')} AS ds, {_of(_SKEL, 'output')} AS os, {_content('draft')} AS dc, {_content('output')} AS oc,
-  {_of(_FACTS, 'draft')} AS df, {_of(_FACTS, 'output')} AS of, regexp_replace(lower(output), '\\s+', '', 'g') AS plain FROM p),
+  {_of(_FACTS, _ascii('draft'))} AS df, {_of(_FACTS, _ascii('output'))} AS of, regexp_replace(lower(output), '\\s+', '', 'g') AS plain FROM p),
  g AS (SELECT *, {_runs('ds')} AS dg, {_runs('os')} AS og FROM s)
 SELECT pair_id, {_found('dg', 'og')} AS skeleton_recall,
  len(list_intersect(dc, oc)) / greatest(1, len(list_distinct(list_concat(dc, oc)))) AS jaccard,
@@ -377,7 +382,7 @@ _SCORED = (
     f"{_MERGED_FACTS}, s AS (SELECT key, count(*) FILTER (WHERE lower(status) = 'changed') AS changed, count(*) FILTER (WHERE lower(status) = 'dropped') AS dropped, "
     "count(*) FILTER (WHERE lower(status) <> 'kept' AND coalesce(severity, 'critical') = 'critical') AS critical, count(*) FILTER (WHERE lower(status) <> 'kept' AND severity = 'minor') AS minor FROM mf GROUP BY 1), "
     "x AS (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in _SCORE_INPUT.items()) + f" FROM s), scored AS (SELECT *, {_PEN} AS copy_pen, CAST(CASE WHEN hard IS NOT NULL THEN -8.0 WHEN judged THEN "
-    f"-(critical * 3.0 + minor * 0.15 + n_invented * 2.0 + CASE WHEN reversed_meaning THEN 2.0 ELSE 0.0 END + CASE WHEN NOT register_kept THEN 1.0 ELSE 0.0 END + CASE WHEN NOT format_kept THEN 1.5 ELSE 0.0 END + CASE WHEN NOT greeting_signoff_kept THEN 1.5 ELSE 0.0 END + {_PEN}) END AS DOUBLE) AS reward FROM x)"
+    f"0.0 - (critical * 3.0 + minor * 0.15 + n_invented * 2.0 + CASE WHEN reversed_meaning THEN 2.0 ELSE 0.0 END + CASE WHEN NOT register_kept THEN 1.0 ELSE 0.0 END + CASE WHEN NOT format_kept THEN 1.5 ELSE 0.0 END + CASE WHEN NOT greeting_signoff_kept THEN 1.5 ELSE 0.0 END + {_PEN}) END AS DOUBLE) AS reward FROM x)"
 )
 
 
@@ -395,17 +400,17 @@ def span_penalties(spark, sf):
 
 
 @query(f"""{_SCORED}, g AS (SELECT key // 4 AS grp, key, reward FROM scored WHERE reward IS NOT NULL)
-SELECT grp, key, round((reward - avg(reward) OVER (PARTITION BY grp)) / (coalesce(stddev_samp(reward) OVER (PARTITION BY grp), 0) + 0.0001), 6) AS advantage FROM g""")
+SELECT grp, key, round((reward - avg(reward) OVER (PARTITION BY grp)) / (coalesce(stddev_samp(reward) OVER (PARTITION BY grp), 0) + 0.0001), 6) + 0.0 AS advantage FROM g""")
 def group_advantage(spark, sf):
     rows = _scored(spark, sf).filter("reward IS NOT NULL").select(F.col("key").alias("k"), "reward", F.floor(F.col("key") / 4).alias("key"))
-    return reward.group_advantage(rows).select(F.col("key").alias("grp"), F.col("k").alias("key"), F.round("advantage", 6).alias("advantage"))
+    return reward.group_advantage(rows).select(F.col("key").alias("grp"), F.col("k").alias("key"), (F.round("advantage", 6) + 0.0).alias("advantage"))
 
 
 @query("""WITH v AS (SELECT event_id, user_id, value AS nll FROM events), s AS (SELECT nll, row_number() OVER (ORDER BY nll) - 1 AS n, count(*) OVER () AS c FROM v WHERE event_id % 10 = 0), f AS (SELECT nll AS fl FROM s WHERE n = c // 2),
- p AS (SELECT event_id, user_id, greatest(0.0, fl - nll) AS p FROM v, f) SELECT event_id, round(p - avg(p) OVER (PARTITION BY user_id), 6) AS penalty FROM p""")
+ p AS (SELECT event_id, user_id, greatest(0.0, fl - nll) AS p FROM v, f) SELECT event_id, round(p - avg(p) OVER (PARTITION BY user_id), 9) + 0.0 AS penalty FROM p""")
 def nll_floor(spark, sf):
     e = _table(spark, sf, "events").select("event_id", F.col("user_id").alias("key"), F.col("value").alias("nll"))
-    return reward.floor_penalty(e, reward.nll_floor(e.filter("event_id % 10 = 0"))).select("event_id", F.round("penalty", 6).alias("penalty"))
+    return reward.floor_penalty(e, reward.nll_floor(e.filter("event_id % 10 = 0"))).select("event_id", (F.round("penalty", 9) + 0.0).alias("penalty"))
 
 
 @query("""WITH t AS (SELECT doc_id AS key, unnest(range(0, 12)) AS t FROM labels), s AS (SELECT doc_id AS key, doc_id % 20 AS f, doc_id % 20 + 15 AS g, 3.0 AS p FROM labels UNION ALL SELECT doc_id, 30, 41, 1.5 FROM labels),
@@ -413,7 +418,7 @@ def nll_floor(spark, sf):
  SELECT key, CAST(t AS BIGINT) AS t, round(CAST(raw * count(*) OVER (PARTITION BY key) / sum(raw) OVER (PARTITION BY key) AS DOUBLE), 9) AS weight FROM h""")
 def span_weights(spark, sf):
     k = _table(spark, sf, "labels").select(F.col("doc_id").alias("key"))
-    tokens = k.select("key", F.explode(F.sequence(F.lit(0), F.lit(11))).cast("long").alias("t")).selectExpr("key", "t", "t * 5 AS start", "t * 5 + 4 AS end")
+    tokens = k.select("key", F.explode(F.expr("sequence(0L, 11L)")).alias("t")).selectExpr("key", "t", "t * 5 AS start", "t * 5 + 4 AS end")
     spans = k.selectExpr("key", "key % 20 AS `from`", "key % 20 + 15 AS to", "3.0D AS penalty").unionByName(k.selectExpr("key", "30L AS `from`", "41L AS to", "1.5D AS penalty"))
     return reward.span_weights(tokens, spans).withColumn("weight", F.round("weight", 9))
 
@@ -425,8 +430,8 @@ def _candidates(spark, sf) -> DataFrame:
 
 def _choice(value: str) -> str:
     return f"""{_FLAGS}, c AS (SELECT *, key // 4 AS k, key % 4 AS i FROM flagged),
- b AS (SELECT *, max(CASE WHEN clean AND in_band THEN 1 ELSE 0 END) OVER (PARTITION BY k) AS band FROM c),
- q AS (SELECT *, clean AND (band = 0 OR in_band) AS pool FROM b),
+ bd AS (SELECT *, max(CASE WHEN clean AND in_band THEN 1 ELSE 0 END) OVER (PARTITION BY k) AS band FROM c),
+ q AS (SELECT *, clean AND (band = 0 OR in_band) AS pool FROM bd),
  f AS (SELECT *, pool AND fact_recall >= max(CASE WHEN pool THEN fact_recall END) OVER (PARTITION BY k) - 0.05E0 AS pool2 FROM q),
  g AS (SELECT k, i, row_number() OVER (PARTITION BY k ORDER BY {value}, i) AS n FROM f WHERE pool2),
  w AS (SELECT k, i, row_number() OVER (PARTITION BY k ORDER BY coalesce(severity, '') = 'critical' DESC, coalesce(identity, false) DESC, coalesce(meaning_changed, false) DESC, NOT coalesce(facts_all_kept, true) DESC, coalesce(added_content, false) DESC, i) AS n FROM f WHERE bad),
@@ -523,10 +528,10 @@ def over_length(spark, sf):
     return datasets.drop_over_length(_table(spark, sf, "documents").select("doc_id", "text"), ["text"], 400).select("doc_id")
 
 
-@query("SELECT CAST(floor(user_id / 10) AS BIGINT) AS step, round(avg(value), 6) AS mean_reward, min(value) AS min_reward, max(value) AS max_reward, count(*) FILTER (WHERE event_type = 'error') AS hard_fails, count(*) FILTER (WHERE value IS NULL) AS judge_fails, CAST(sum(event_id % 3) AS BIGINT) AS critical, CAST(sum(event_id % 5) AS BIGINT) AS minor FROM events GROUP BY 1")
+@query("SELECT CAST(floor(user_id / 10) AS BIGINT) AS step, round(avg(value), 9) AS mean_reward, min(value) AS min_reward, max(value) AS max_reward, count(*) FILTER (WHERE event_type = 'error') AS hard_fails, count(*) FILTER (WHERE value IS NULL) AS judge_fails, CAST(sum(event_id % 3) AS BIGINT) AS critical, CAST(sum(event_id % 5) AS BIGINT) AS minor FROM events GROUP BY 1")
 def step_log(spark, sf):
     log = _table(spark, sf, "events").select(F.floor(F.col("user_id") / 10).alias("step"), F.col("value").alias("reward"), F.when(F.col("event_type") == "error", "error").alias("hard"), (F.col("event_id") % 3).alias("critical"), (F.col("event_id") % 5).alias("minor"))
-    return datasets.step_log(log).withColumn("mean_reward", F.round("mean_reward", 6))
+    return datasets.step_log(log).withColumn("mean_reward", F.round("mean_reward", 9))
 
 
 # ---- guard --------------------------------------------------------------------------------------------------
