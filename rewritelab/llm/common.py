@@ -37,6 +37,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A key is heavy with over 1/HEAVY of the rows; so there are fewer than HEAVY heavy keys, whatever the input.
+HEAVY = 1000
+
+
+def join_unique(rows: DataFrame, side: DataFrame, key: str, counts: DataFrame, n: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the row of ``side`` (at most one a key) that has its ``key``; ``how``: inner or left.
+
+    ``counts``: (key, __n), the rows by key; ``n``: the number of rows.  Rows of heavy keys meet a broadcast of fewer
+    than HEAVY rows where they are, so that no task gets a key's rows all; the others are shuffled.  Keys aren't null.
+    """
+    heavy = F.broadcast(counts.filter(F.col("__n") * HEAVY > n).select(key))
+    near = F.broadcast(side.join(heavy, key, "left_semi"))
+    return rows.join(heavy, key, "left_semi").join(near, key, how).unionByName(rows.join(heavy, key, "left_anti").join(side, key, how))
+
+
 def text_of(name: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -9,15 +9,17 @@ or fewer, some segment starts a chain whose every prefix of l segments differs i
 of either half of the next (of two halves that differ in one bit together, one is equal): 10 keys of about 20
 bits.  Pairs that meet under a key run along the chain, budget by budget, and only those that pass reach the
 full Hamming test.  Nothing is capped: a key with many fingerprints is cut into blocks of BLOCK, and each
-pair of blocks is one tile that some task handles by itself.  A tile returns a spanning forest of its links, not
-the links, so a class of n fingerprints costs a multiple of n rows.
+pair of blocks is one tile that some task handles by itself.  A tile returns a tree over each of its classes, not
+the links, so a class of n fingerprints costs a multiple of n rows; the trees are binary, so that no fingerprint
+becomes a hub with many edges.
 
-Classes: hash-to-minimum label propagation over the forest edges with pointer jumping, checkpointed round by
-round.  Nothing but counts reaches the driver.
+Classes: hash-to-minimum label propagation over the tree edges with pointer jumping, checkpointed round by
+round.  Nothing but counts reaches the driver.  Where many rows share a fingerprint, or many fingerprints a label,
+they meet a broadcast of fewer than HEAVY rows (common.join_unique) instead of each other in one task.
 
 Defined results: null and empty texts, and texts without words, have fingerprint zero and link like any other;
-rows with equal ids are merged (their fingerprints all belong to the id); null ids form no class of their own
-but sort first; an empty table gives no rows; extra columns are ignored.
+rows with equal ids are merged (their fingerprints all belong to the id); a null id links like any other and is
+the id of a component only if that has no other; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, join_unique, table
 
 WORDS, SEED, MOST = 4, 42, 4
 #: Low bit and width of each segment of the ring.
 RING = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 BLOCK = 1024
+#: Label of fingerprints that have null ids only: sorts after all others.
+NO_LABEL = 2**63 - 1
 
 
 def simhash(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -81,7 +85,7 @@ def keys_of(fps: DataFrame) -> DataFrame:
 
 
 def _forest(x: np.ndarray, y: np.ndarray | None, start: int, most: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links within x, or between x and y: the chain from segment ``start``, then the full test."""
+    """Trees over the classes that links make within x, or between x and y: the chain from segment ``start``, then the full test."""
     nodes = x if y is None else np.concatenate([x, y])
     parent = list(range(len(nodes)))
 
@@ -92,7 +96,7 @@ def _forest(x: np.ndarray, y: np.ndarray | None, start: int, most: int) -> list[
         return i
 
     segments = [_segment(nodes, start + j) for j in range(1, len(RING))]
-    edges = []
+    members: dict[int, list[int]] = {}
     for i in range(len(x)):
         near = np.arange(i + 1, len(x)) if y is None else np.arange(len(x), len(nodes))
         spent = np.zeros(len(near), np.uint8)
@@ -106,8 +110,10 @@ def _forest(x: np.ndarray, y: np.ndarray | None, start: int, most: int) -> list[
             a, b = root(i), root(j)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                edges.append((i, j))
-    return [(int(nodes[i].view(np.int64)), int(nodes[j].view(np.int64))) for i, j in edges]
+    for i in range(len(nodes)):
+        members.setdefault(root(i), []).append(i)
+    ids = nodes.view(np.int64).tolist()
+    return [(ids[m[(at - 1) // 2]], ids[m[at]]) for m in members.values() for at in range(1, len(m))]
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +146,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Forest edges (u, v) over distinct fingerprints ``fp`` whose components are those of the link graph."""
+    """Tree edges (u, v) over distinct fingerprints ``fp`` whose components are those of the link graph."""
     filed = keys_of(fps)
     hot = filed.groupBy("key").agg(F.count("*").alias("__n")).filter(F.col("__n") > BLOCK).select("key", F.ceil(F.col("__n") / BLOCK).cast("int").alias("__blocks"))
     blocked = filed.join(hot, "key", "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("__blocks")).cast("int"))
@@ -162,9 +168,10 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
     while True:
         heard = both.join(now.select(F.col("node").alias("other"), F.struct("label", "at").alias("best")), "other").groupBy("node").agg(F.min("best").alias("heard"))
         nearer = now.join(heard, "node").select("node", F.col("label").alias("old"), F.least(F.struct("label", "at"), "heard").alias("best"))
-        nearer = nearer.select("node", "old", F.col("best.label").alias("label"), F.col("best.at").alias("at"))
-        jump = nearer.select("at").distinct().join(nearer.select(F.col("node").alias("at"), F.struct("label", F.col("at")).alias("far")), "at")
-        new = cut(nearer.join(jump, "at", "left").select("node", "old", F.least(F.struct("label", "at"), F.coalesce("far", F.struct("label", "at"))).alias("best")).select("node", "old", F.col("best.label").alias("label"), F.col("best.at").alias("at")))
+        nearer = cut(nearer.select("node", "old", F.col("best.label").alias("label"), F.col("best.at").alias("at")))
+        led = nearer.groupBy("at").agg(F.count("*").alias("__n"))
+        jump = led.select("at").join(nearer.select(F.col("node").alias("at"), F.struct("label", F.col("at")).alias("far")), "at")
+        new = cut(join_unique(nearer, jump, "at", led, nearer.count(), "left").select("node", "old", F.least(F.struct("label", "at"), F.coalesce("far", F.struct("label", "at"))).alias("best")).select("node", "old", F.col("best.label").alias("label"), F.col("best.at").alias("at")))
         if new.filter("label <> old").isEmpty():
             return new.select("node", "label")
         now = new.select("node", "label", "at")
@@ -173,10 +180,12 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the component)."""
     marks = cut(fingerprints(docs, id_col, text_col))
-    least = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("label")))
-    classes = components(links(least.select("fp")), least.select(F.col("fp").alias("node"), F.coalesce("label", F.lit(-(2**63))).alias("label")))
-    class_of = least.join(classes.withColumnRenamed("node", "fp").withColumnRenamed("label", "__class"), "fp", "left").select("fp", F.coalesce(F.nullif("__class", F.lit(-(2**63))), "label").alias("component_id"))
-    return marks.join(class_of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    least = cut(marks.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_LABEL)).alias("label"), F.count("*").alias("__n")))
+    classes = components(links(least.select("fp")), least.select(F.col("fp").alias("node"), "label"))
+    class_of = least.join(classes.select(F.col("node").alias("fp"), F.col("label").alias("__class")), "fp", "left")
+    class_of = class_of.select("fp", F.nullif(F.coalesce("__class", "label"), F.lit(NO_LABEL)).alias("component_id"))
+    met = join_unique(marks, class_of, "fp", least, marks.count())
+    return met.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
