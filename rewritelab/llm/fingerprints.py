@@ -5,8 +5,8 @@ seeded xxhash64.  Texts that meet in one bucket are then compared byte by byte;
 folded texts, its members' digests are extended by SHA-256, so equal digests mean equal folded texts.
 
 Scale: buckets are counted on hashes alone; only texts of buckets with two rows or more are shuffled for the
-comparison, as a minimum and a maximum that combine map-side, so a bucket with a third of all rows is no hot
-spot.
+comparison.  A bucket with a third of all rows is no hot spot: the rows of heavy buckets (fewer than HEAVY, by
+counting) are dealt over SALTS parts, each part compared by itself as a minimum and a maximum, then the parts.
 
 Defined results: null text counts as empty; rows with equal ids are separate rows; a null id sorts before the
 others; empty tables give no rows; extra columns are ignored.
@@ -17,12 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, cut, id_bounds, id_key, range_of, table, text_of
+from .common import HEAVY, NULL_ID, cut, id_bounds, id_key, range_of, table, text_of
 
 #: White space after NFKC: Java's \s and the separators that NFKC leaves.
 SPACE = r"[\s\x85\x{1680}\x{2028}\x{2029}]+"
-#: Digests of clashing buckets up to which they are broadcast, 32 bytes each.
+#: Digests of buckets (of several rows, or that clash) up to which they are broadcast, 32 bytes each.
 MOST_BROADCAST = 1_000_000
+#: Parts of a heavy bucket.
+SALTS = 256
 
 
 def fold(text: Column) -> Column:
@@ -40,9 +42,20 @@ def digest(folded: Column) -> Column:
 
 def collisions(rows: DataFrame, folded: str, mark: str) -> DataFrame:
     """Digests (column ``mark``) whose bucket holds different folded texts; as a rule none."""
-    several = rows.groupBy(mark).agg(F.count("*").alias("__n")).filter("__n > 1").select(F.col(mark).alias("__mark"))
-    met = rows.join(several, F.col(mark) == F.col("__mark"), "left_semi")
-    return met.groupBy(mark).agg(F.min(folded).alias("__a"), F.max(folded).alias("__b")).filter("__a <> __b").select(F.col(mark).alias("__mark"))
+    several = cut(rows.groupBy(mark).agg(F.count("*").alias("__n")).filter("__n > 1"))
+    size = several.agg(F.sum("__n").alias("rows"), F.count("*").alias("buckets")).first()
+    several = several.select(F.col(mark).alias("__mark"), (F.col("__n") * HEAVY > (size["rows"] or 0)).alias("__heavy"))
+    part = F.when(F.col("__heavy"), F.spark_partition_id() % SALTS).otherwise(0)
+    own = rows.select(F.col(mark).alias("__mark"), folded)
+    if size["buckets"] <= MOST_BROADCAST:  # texts of single buckets aren't shuffled
+        met = own.join(F.broadcast(several), "__mark").withColumn("__part", part)
+    else:
+        own = own.join(F.broadcast(several.filter("__heavy")), "__mark", "left").withColumn("__part", part).drop("__heavy")
+        parts = F.when(F.col("__heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        met = own.join(several.withColumn("__part", F.explode(parts)), ["__mark", "__part"])
+    by_part = met.groupBy("__mark", "__part", "__heavy").agg(F.min(folded).alias("__a"), F.max(folded).alias("__b"))
+    # most buckets have one part and need no second comparison
+    return by_part.filter("__heavy OR __a <> __b").groupBy("__mark").agg(F.min("__a").alias("__a"), F.max("__b").alias("__b")).filter("__a <> __b").select("__mark")
 
 
 def told_apart(rows: DataFrame, folded: str, mark: str, clashing: DataFrame) -> DataFrame:

@@ -116,11 +116,17 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprint(empty).count() == 0
 
 
-def test_fingerprint_collisions_are_told_apart(spark):
-    rows = spark.createDataFrame([("a", "same"), ("b", "same"), ("c", "other"), ("c", "other")], "folded string, mark string")
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+@pytest.mark.parametrize("share", [1000, 3])
+def test_fingerprint_collisions_are_told_apart(spark, monkeypatch, limit, share):
+    monkeypatch.setattr(fingerprints, "MOST_BROADCAST", limit)
+    monkeypatch.setattr(fingerprints, "HEAVY", share)
+    data = [("a", "same"), ("b", "same")] + [("c", "other")] * 40 + [("d", "far"), ("d", "far"), ("e", "far")] + [("f", "hot")] * 50 + [("g", "hot"), ("h", "one")]
+    rows = spark.createDataFrame(data, "folded string, mark string").repartition(6)
     clash = fingerprints.collisions(rows, "folded", "mark")
-    assert [r[0] for r in clash.collect()] == ["same"]
-    assert fingerprints.told_apart(rows, "folded", "mark", clash).select("mark").distinct().count() == 3
+    assert sorted(r[0] for r in clash.collect()) == ["far", "hot", "same"]
+    assert fingerprints.told_apart(rows, "folded", "mark", clash).select("mark").distinct().count() == 8
+    assert fingerprints.collisions(rows.limit(0), "folded", "mark").count() == 0
 
 
 def test_token_counts(docs, empty):
