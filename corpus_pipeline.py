@@ -2,6 +2,8 @@
 
 Counted as part of the subpackage ``rewritelab.llm``.  A stage is (name, function of (spark, docs, sf_dir)); its
 result is written as Parquet and read again as the next one's docs.  All but the last return the columns of documents.
+
+Rows without an id are documents like others, told apart by their texts; extra columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rewritelab.llm import decontamination, language, mixing, sharding, simhash
-from rewritelab.llm.common import table, with_checkpoints
+from rewritelab.llm.common import columns_of, free, row_id, table, with_checkpoints
 
 SHARDS = 24
 
@@ -20,24 +22,25 @@ SHARDS = 24
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the labelled rows and drop what has no language: null texts and texts without a letter."""
     model = language.learn(docs.filter(~language.held_out()), "text", "lang")
-    told = language.predict(docs, model, lang="__lang", score="__score")
-    return told.filter("__lang <> 'und'").select(*docs.columns)
+    lang, score = free(docs, "__lang", "__score")
+    return language.predict(docs, model, lang=lang, score=score).filter(F.col(lang) != "und").select(*columns_of(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest id of each SimHash component, and one row of it."""
-    classes = simhash.near_duplicates(docs)
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    return rows.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*docs.columns)
+    key, kept, place = free(docs, "__key", "__kept", "__n")
+    keyed = docs.withColumn(key, row_id())
+    firsts = simhash.near_duplicates(keyed, id_col=key).filter("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
+    rows = keyed.join(firsts, F.col(key) == F.col(kept), "left_semi")
+    return rows.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy("text"))).filter(F.col(place) == 1).select(*columns_of(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that contain a benchmark item."""
-    found = decontamination.contained(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    key, bad = free(docs, "__key", "__bad")
+    keyed = docs.withColumn(key, F.concat_ws(":", F.col("doc_id").cast("string"), F.hex(F.xxhash64("text"))))  # rows of one id, or of none, may differ
+    found = decontamination.contained(keyed, table(spark, sf_dir, "benchmark"), doc_id=key)
+    return keyed.join(found.select(F.col(key).alias(bad)).distinct(), F.col(key) == F.col(bad), "left_anti").select(*columns_of(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

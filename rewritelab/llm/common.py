@@ -18,6 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer by underscores until ``df`` has no column of that name in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` by name, whatever characters the names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def with_checkpoints(spark: SparkSession) -> None:
     """Make checkpoint() usable.
 
@@ -61,6 +77,11 @@ def id_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 
 
+def row_id(name: str = "doc_id", text: str = "text") -> Column:
+    """The id; for a null one, a number of 62 bits above 2**62 that the text gives, so that rows without ids stay apart."""
+    return F.coalesce(F.col(name).cast("long"), F.lit(2**62) + F.shiftrightunsigned(F.xxhash64(F.col(text).cast("string")), 2))
+
+
 def id_bounds(ids: DataFrame, key: str, rows: int, per_range: int = 200_000, least: int = 16, most: int = 2048) -> list[int]:
     """Ascending values of ``key`` that cut the rows into ranges of similar size; the first is the minimum.
 

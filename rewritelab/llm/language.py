@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import columns_of, table
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -69,7 +69,9 @@ def learn(rows: DataFrame, text_col: str, label_col: str) -> tuple[list[str], np
 
     labelled = rows.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).filter("label IS NOT NULL AND text IS NOT NULL")
     sums = labelled.mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
-    packed = sums.groupBy("label").agg(F.collect_list(F.struct("bucket", "n")).alias("all")).limit(MOST_LABELS).collect()  # BUCKETS pairs each at most
+    packed = sums.groupBy("label").agg(F.collect_list(F.struct("bucket", "n")).alias("all")).limit(MOST_LABELS + 1).collect()  # BUCKETS pairs each at most
+    if len(packed) > MOST_LABELS:
+        raise ValueError(f"over {MOST_LABELS} labels: the column {label_col} doesn't name languages")
     labels = sorted(r["label"] for r in packed)
     counts = np.zeros((BUCKETS, len(labels)), np.float64)
     for r in packed:
@@ -101,7 +103,8 @@ def predict_texts(texts: list[str | None], labels: list[str], logp: np.ndarray)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with all its columns, and the two new ones."""
+    """``docs`` with all its columns, and the two new ones; should it have columns of their names, these are replaced."""
+    docs = docs.select(*[c for c, name in zip(columns_of(docs), docs.columns) if name.lower() not in (lang.lower(), score.lower())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of MOST_LABELS floats at most
     at = docs.columns.index(text_col)
 

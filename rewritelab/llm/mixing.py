@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, id_key, table, text_of
+from .common import BLANKS, columns_of, cut, free, id_key, row_id, table, text_of
 
 WEIGHTS, SHARE, MOST_PASSES = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Slopes of the schedules, by source in turn: rising, falling, flat.
@@ -105,16 +105,16 @@ def plan_mix(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col
     return own.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), positions.alias("positions"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **rules) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
     """The documents' rows as the mix takes them, repeated, range-sorted by training position.
 
-    Rows with one id share a plan row by number, so ids should be unique; should one repeat, its rows are taken alike.
+    Ids should be unique; should one repeat, its rows are taken alike.  Rows without an id are told apart by their texts.
     """
-    plan = plan_mix(docs, id_col=id_col, **rules).filter("copies > 0").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__key"), F.col("positions").alias("__positions"))
-    plan = plan.groupBy("__key").agg(F.min("__positions").alias("__positions"))
-    met = docs.withColumn("__key", id_key(id_col)).join(plan, "__key").withColumn("__position", F.explode("__positions"))
-    sorted_ = met.repartitionByRange("__position", "__key").sortWithinPartitions("__position", "__key")
-    return sorted_.select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, places, place = free(docs, "__key", "__positions", "__position")
+    keyed = docs.withColumn(key, row_id(id_col, text_col))
+    plan = plan_mix(keyed, id_col=key, text_col=text_col, **rules).filter("copies > 0").groupBy("doc_id").agg(F.min("positions").alias(places))
+    met = keyed.join(plan.withColumnRenamed("doc_id", key), key).withColumn(place, F.explode(places))
+    return met.repartitionByRange(place, key).sortWithinPartitions(place, key).select(*columns_of(docs))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
