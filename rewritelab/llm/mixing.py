@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, columns_of, cut, free, id_key, row_id, table, text_of
+from .common import columns_of, cut, free, id_key, row_id, table, text_of
 
 WEIGHTS, SHARE, MOST_PASSES = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Slopes of the schedules, by source in turn: rising, falling, flat.
@@ -35,12 +35,15 @@ SLOPES = (0.5, -0.5, 0.0)
 LARGE = 200
 #: Sources up to which their totals are broadcast (a few bytes each).
 MOST_BROADCAST = 100_000
+#: A word, as a Java pattern.
+WORD = r"[^\x20\x09-\x0D]+"
 SEED = 8
 
 
 def n_words(text: Column) -> Column:
-    words = F.split(F.trim(F.regexp_replace(text, BLANKS, " ")), " ")
-    return F.when(F.trim(F.regexp_replace(text, BLANKS, " ")) == "", 0).otherwise(F.size(words)).cast("long")
+    """Each word becomes one letter and the blanks between go: no array of words is made, however long the text."""
+    marks = F.translate(F.regexp_replace(text, WORD, "x"), " \t\n\x0b\x0c\r", "")
+    return F.length(marks).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_PASSES, slopes: tuple = SLOPES) -> DataFrame:

@@ -79,3 +79,11 @@ def test_stages(spark, clashing, sf_dir, nulls):
 def test_all_null(spark, sf_dir):
     docs = spark.createDataFrame([(None,) * 5] * 3, "doc_id long, text string, lang string, source string, n_chars long")
     assert [stage(spark, docs, sf_dir).count() for _, stage in corpus_pipeline.STAGES] == [0, 1, 3, 0, 3]
+
+
+def test_word_counts(spark):
+    import re
+
+    texts = ["", " ", "a", "a b", "\ta\x0b\x0cb\r\nc  ", "x\x1cy\x85z w v", "é ö", "x" * 70_000 + " y"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", mixing.n_words(F.col("t")).alias("n")).orderBy("i").collect()
+    assert [r["n"] for r in got] == [len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in texts]
