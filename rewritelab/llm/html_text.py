@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +38,8 @@ DECAY, LOW, LEAST_PAGES = 0.9, 0.2, 4
 MOST_BROADCAST = 32 << 20
 #: Levels below the body that the tree has; deeper branches share their ancestors' fate.
 DEPTH = 8
+#: Of the polynomial that hashes a sequence of strings.
+PRIME, BASE = (1 << 61) - 1, 0x1B873593CC9E2D51
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -86,10 +89,14 @@ def parse(page: str) -> Node:
     """A tree of elements and strings; elements keep their style path and whether they name themselves noise."""
     root = Node("html", "", False)
     stack, at, n = [root], 0, len(page)
+    opened: Counter = Counter()  # elements of the stack by tag, so that a deep stack is searched only for what it has
 
-    def close(tags: frozenset | set | str, stop: frozenset | set = frozenset()) -> None:
+    def close(tags: frozenset | set, stop: frozenset | set = frozenset()) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
+                opened.subtract(x.tag for x in stack[i:])
                 del stack[i:]
                 return
             if stack[i].tag in stop:
@@ -130,6 +137,7 @@ def parse(page: str) -> Node:
             at = n if end is None else (page.find(">", end.end()) + 1 or n)
             continue
         stack.append(node)
+        opened[tag] += 1
     return root
 
 
@@ -185,29 +193,33 @@ def main_text(page: str, removed: frozenset | set = frozenset()) -> str:
     return "\n\n".join(b for b in blocks if b)
 
 
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
 def styles(page: str) -> list[tuple[str, int, int, int]]:
     """(path, hash of the child sequence, number of child styles, hash of the text) of every style path of the page."""
-    texts: dict[str, xxhash.xxh64] = {}
+    # a node's strings follow each other, so that its text's hash comes from the page's prefix hashes: linear at any depth
+    prefix, power = [0], [1]
+    says: dict[str, int] = {}
     children: dict[str, list[str]] = {}
-
-    def visit(node: Node, above: list[str]) -> None:
-        chain = above if node.path in above else [*above, node.path]
-        kids = children.setdefault(node.path, [])
-        for p in node.parts:
-            if isinstance(p, str):
-                if p.strip():
-                    data = p.strip().encode("utf-8", "surrogatepass")
-                    for path in chain:
-                        texts.setdefault(path, xxhash.xxh64()).update(data)
-            else:
-                kids.append(p.path)
-                if len(above) < 200:
-                    visit(p, chain)
-
-    visit(parse(page), [])
-    signed = lambda h: h - (1 << 64) if h >> 63 else h
-    empty = xxhash.xxh64()
-    return [(p, signed(xxhash.xxh64_intdigest("\n".join(k))), len(set(k)), signed(texts.get(p, empty).intdigest())) for p, k in children.items() if p]
+    work: list = [(parse(page), "", -1)]
+    while work:
+        x, up, start = work.pop()
+        if isinstance(x, str):
+            if words := x.split():
+                prefix.append((prefix[-1] * BASE + xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))) % PRIME)
+                power.append(power[-1] * BASE % PRIME)
+            continue
+        if start >= 0:
+            n = len(prefix) - 1 - start
+            says[x.path] = ((says.get(x.path, 0) - prefix[start]) * power[n] + prefix[-1]) % PRIME
+            continue
+        children.setdefault(x.path, []).extend(p.path for p in x.parts if not isinstance(p, str))
+        if x.path != up:  # else the ancestor of the same path has its text
+            work.append((x, up, len(prefix) - 1))
+        work.extend((p, x.path, -1) for p in reversed(x.parts))
+    return [(p, signed(xxhash.xxh64_intdigest("\n".join(k))), len(set(k)), says[p]) for p, k in children.items() if p]
 
 
 def host(url: str = "url"):
