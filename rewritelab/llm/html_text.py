@@ -1,17 +1,19 @@
 """Main text of web pages by a site style tree.
 
-Pages of a host are merged into one tree of style paths (tags with their class and id, from the body down).  A node's
+Pages of a host are merged into one tree of style paths (hashes of the tags with their class and id, from the body down,
+at any depth).  A node's
 presentation importance is the entropy of the child sequences that it has over the host's pages, its content
 importance is one minus the entropy with which its texts repeat, both to base m, the number of pages that have the
 node; both are joined as (1 - g**l) * presentation + g**l * content, with g = 0.9 and l child styles.  What looks the
-same and says the same on every page scores 0.  Branches under LOW, met on LEAST_PAGES pages or more, are noise; they
-are removed from each page, together with elements that name themselves as noise (navigation, footers, adverts,
+same and says the same on every page scores 0.  Branches under LOW, met on LEAST_PAGES different pages or more, are
+noise (pages of a host whose texts are equal count once: copies of a page don't show what its site repeats); they are
+removed from each page, together with elements that name themselves as noise (navigation, footers, adverts,
 forms, comments and the like).  The article element, if there is one, is the page's content: inside it only
 self-named noise goes, so that an article that many pages share stays whole.
 
-Scale: the tree is never in one place.  Each page gives a row for each style path it has (hashes only); counts by
-(host, path, text) and (host, path, children) combine map-side, then by (host, path), so a host with a third of all
-pages is no hot spot.  Only noise paths are kept.  They go to every task while they are few (their bytes are
+Scale: the tree is never in one place.  Each page gives a row for each style path it has (hashes only); rows of
+equal pages meet by (host, path, page text), counts by (host, path, text) and (host, path, children) combine map-side,
+then by (host, path), so a host with a third of all pages is no hot spot.  Only noise paths are kept.  They go to every task while they are few (their bytes are
 counted), else pages join them by host and path.
 
 Defined results: null html is empty; pages without text give '' and 0; broken or cut-off markup ends at the text's end;
@@ -33,11 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-DECAY, LOW, LEAST_PAGES = 0.9, 0.2, 4
+DECAY, LOW, LEAST_PAGES = 0.9, 0.2, 2
 #: Bytes of noise paths up to which they are broadcast.
 MOST_BROADCAST = 32 << 20
-#: Levels below the body that the tree has; deeper branches share their ancestors' fate.
-DEPTH = 8
 #: Of the polynomial that hashes a sequence of strings.
 PRIME, BASE = (1 << 61) - 1, 0x1B873593CC9E2D51
 
@@ -60,6 +60,10 @@ _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _attributes(text: str) -> dict[str, str]:
     out: dict[str, str] = {}
     if "=" in text or "hidden" in text:
@@ -80,14 +84,14 @@ def names_noise(tag: str, attributes: dict[str, str]) -> bool:
 class Node:
     __slots__ = ("noise", "parts", "path", "tag")
 
-    def __init__(self, tag: str, path: str, noise: bool):
-        self.tag, self.path, self.noise = tag, path, noise
+    def __init__(self, tag: str, path: int, noise: bool):
+        self.tag, self.path, self.noise = tag, path, noise  # path: hash of all styles from the body down, of one size at any depth
         self.parts: list = []  # strings and nodes, in page order
 
 
 def parse(page: str) -> Node:
     """A tree of elements and strings; elements keep their style path and whether they name themselves noise."""
-    root = Node("html", "", False)
+    root = Node("html", 0, False)
     stack, at, n = [root], 0, len(page)
     opened: Counter = Counter()  # elements of the stack by tag, so that a deep stack is searched only for what it has
 
@@ -125,7 +129,7 @@ def parse(page: str) -> Node:
         attributes = _attributes(m[3])
         style = ".".join([tag, *sorted(attributes.get("class", "").split())]) + (f"#{attributes['id']}" if attributes.get("id") else "")
         up = stack[-1]
-        path = f"{up.path}/{style}" if up.path.count("/") < DEPTH else up.path
+        path = signed(hash_of(f"{up.path}/{style}"))
         node = Node(tag, path, names_noise(tag, attributes))
         up.parts.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
@@ -182,9 +186,7 @@ def main_parts(root: Node) -> list[Node]:
     return found["article"] or found["main"]
 
 
-def main_text(page: str, removed: frozenset | set = frozenset()) -> str:
-    root = parse(page)
-    own = main_parts(root)
+def text_of_parts(root: Node, own: list[Node], removed: frozenset | set = frozenset()) -> str:
     out: list[list[str]] = [[]]
     for x in own or [root]:
         walk_blocks(x, removed, bool(own), out)
@@ -193,22 +195,29 @@ def main_text(page: str, removed: frozenset | set = frozenset()) -> str:
     return "\n\n".join(b for b in blocks if b)
 
 
-def signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
+def main_text(page: str, removed: frozenset | set = frozenset()) -> str:
+    root = parse(page)
+    return text_of_parts(root, main_parts(root), removed)
 
 
-def styles(page: str) -> list[tuple[str, int, int, int]]:
-    """(path, hash of the child sequence, number of child styles, hash of the text) of every style path of the page."""
+def hash_of(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def styles(page: str) -> list[tuple[int, int, int, int, int]]:
+    """(path, hash of the child sequence, number of child styles, hash of its text, hash of the page's) of every style path."""
+    root = parse(page)
+    whole = signed(hash_of(text_of_parts(root, main_parts(root))))
     # a node's strings follow each other, so that its text's hash comes from the page's prefix hashes: linear at any depth
     prefix, power = [0], [1]
-    says: dict[str, int] = {}
-    children: dict[str, list[str]] = {}
-    work: list = [(parse(page), "", -1)]
+    says: dict[int, int] = {}
+    children: dict[int, list[int]] = {}
+    work: list = [(root, -1)]
     while work:
-        x, up, start = work.pop()
+        x, start = work.pop()
         if isinstance(x, str):
             if words := x.split():
-                prefix.append((prefix[-1] * BASE + xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))) % PRIME)
+                prefix.append((prefix[-1] * BASE + hash_of(" ".join(words))) % PRIME)
                 power.append(power[-1] * BASE % PRIME)
             continue
         if start >= 0:
@@ -216,10 +225,9 @@ def styles(page: str) -> list[tuple[str, int, int, int]]:
             says[x.path] = ((says.get(x.path, 0) - prefix[start]) * power[n] + prefix[-1]) % PRIME
             continue
         children.setdefault(x.path, []).extend(p.path for p in x.parts if not isinstance(p, str))
-        if x.path != up:  # else the ancestor of the same path has its text
-            work.append((x, up, len(prefix) - 1))
-        work.extend((p, x.path, -1) for p in reversed(x.parts))
-    return [(p, signed(xxhash.xxh64_intdigest("\n".join(k))), len(set(k)), says[p]) for p, k in children.items() if p]
+        work.append((x, len(prefix) - 1))
+        work.extend((p, -1) for p in reversed(x.parts))
+    return [(p, signed(xxhash.xxh64_intdigest("\n".join(map(str, k)))), len(set(k)), says[p], whole) for p, k in children.items() if p]
 
 
 def host(url: str = "url"):
@@ -237,13 +245,13 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
                 got = styles(page.as_py() or "")
                 hosts += [h] * len(got)
                 rows += got
-            cols = list(zip(*rows)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], names=["host", "path", "look", "kinds", "says"])
+            cols = list(zip(*rows)) or [(), (), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["host", "path", "look", "kinds", "says", "whole"])
 
-    seen = pages.select(host(url_col).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "host string, path string, look long, kinds int, says long")
-    # one shuffle: counts of (look, says) pairs give both distributions
-    pairs = cut(seen.groupBy("host", "path", "look", "says").agg(F.count("*").alias("n"), F.max("kinds").alias("kinds")))
-    spread = lambda c: pairs.groupBy("host", "path", c).agg(F.sum("n").alias("n"), F.max("kinds").alias("kinds")).groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("x"), F.max("kinds").alias("kinds"))
+    seen = pages.select(host(url_col).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "host string, path long, look long, kinds int, says long, whole long")
+    # one row for pages that say the same: a copied page is no evidence of what the site repeats
+    apart = cut(seen.groupBy("host", "path", "whole").agg(F.min(F.struct("look", "kinds", "says")).alias("x")).select("host", "path", "x.*"))
+    spread = lambda c: apart.groupBy("host", "path", c).agg(F.count("*").alias("n"), F.max("kinds").alias("kinds")).groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("x"), F.max("kinds").alias("kinds"))
     look = spread("look").select("host", "path", F.col("m").alias("pages"), "kinds", F.when(F.col("m") > 1, 1 - F.col("x") / (F.col("m") * F.log("m"))).otherwise(1.0).alias("presentation"))
     says = spread("says").select("host", "path", F.when(F.col("m") > 1, 1 - F.col("x") / (F.col("m") * F.log("m"))).otherwise(1.0).alias("content"))
     g = F.pow(F.lit(DECAY), F.col("kinds"))
@@ -257,14 +265,14 @@ def noise_paths(tree: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, page_id: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars."""
     noise = cut(noise_paths(style_tree(pages, url_col, html_col)))
-    size = noise.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64).alias("n")).first()["n"] or 0
+    size = noise.agg(F.sum(F.octet_length("host") + 72).alias("n")).first()["n"] or 0
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url_col).alias("url"), host(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
     by_host = noise.groupBy("host").agg(F.collect_set("path").alias("paths"))
 
     if size <= MOST_BROADCAST:
         removed = {r["host"]: frozenset(r["paths"]) for r in by_host.toLocalIterator()}
         shared = pages.sparkSession.sparkContext.broadcast(removed)
-        rows, look = own.withColumn("paths", F.lit(None).cast("array<string>")), lambda h, _: shared.value.get(h, frozenset())
+        rows, look = own.withColumn("paths", F.lit(None).cast("array<bigint>")), lambda h, _: shared.value.get(h, frozenset())
     else:
         rows, look = own.join(by_host, "host", "left").select("page_id", "url", "host", "html", "paths"), lambda _, paths: frozenset(paths or ())
 

@@ -12,3 +12,20 @@ def test_deeply_nested_pages_do_not_fail_the_query(spark, tag):
     got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {0: "first\n\ndeep words", 1: "plain"}
     assert html_text.styles(deep)
+
+
+def texts(spark, pages):
+    rows = [(i, url, page) for i, (url, page) in enumerate(pages)]
+    return [r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize("n", [2, 3, 12])
+def test_repeated_text_goes_at_any_depth_and_on_small_hosts(spark, n):
+    wrap = lambda x: "<div>" * 12 + x + "</div>" * 12
+    pages = [("http://a.example.com/", wrap(f"<div class=top>same words</div><div class=text>own words {i}</div>")) for i in range(n)]
+    assert texts(spark, pages) == [f"own words {i}" for i in range(n)]
+
+
+def test_copies_of_a_page_stay_whole(spark):
+    page = "<div class=top>same words</div><div class=text>the copied words</div>"
+    assert texts(spark, [("http://a.example.com/", page)] * 6) == ["same words\n\nthe copied words"] * 6
