@@ -8,8 +8,9 @@ node; both are joined as (1 - g**l) * presentation + g**l * content, with g = 0.
 same and says the same on every page scores 0.  Branches under LOW, met on LEAST_PAGES different pages or more, are
 noise (pages of a host whose texts are equal count once: copies of a page don't show what its site repeats); they are
 removed from each page, together with elements that name themselves as noise (navigation, footers, adverts,
-forms, comments and the like).  The article element, if there is one, is the page's content: inside it only
-self-named noise goes, so that an article that many pages share stays whole.
+forms, comments and the like).  Branches whose texts differ are no noise, however alike they look (content LOW or
+more).  The article element, or else main, if there is one, is the page's content; inside it the same rule holds for
+its branches, met in LEAST_ARTICLES different articles or more, so that an article that many pages share stays whole.
 
 Scale: the tree is never in one place.  Each page gives a row for each style path it has (hashes only); rows of
 equal pages meet by (host, path, page text), counts by (host, path, text) and (host, path, children) combine map-side,
@@ -35,7 +36,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-DECAY, LOW, LEAST_PAGES = 0.9, 0.2, 2
+DECAY, LOW, LEAST_PAGES, LEAST_ARTICLES = 0.9, 0.2, 2, 4
+#: Tells the paths inside a page's main element from the same paths outside of one.
+INSIDE = 0x2545F4914F6CDD1D
 #: Bytes of noise paths up to which they are broadcast.
 MOST_BROADCAST = 32 << 20
 #: Of the polynomial that hashes a sequence of strings.
@@ -145,8 +148,12 @@ def parse(page: str) -> Node:
     return root
 
 
+def key_of(node: Node, inside: bool) -> int:
+    return node.path ^ INSIDE if inside else node.path
+
+
 def walk_blocks(node: Node, removed: frozenset | set, inside: bool, out: list[list[str]]) -> None:
-    """Text of ``node`` by blocks; a block element starts and ends one.  ``inside``: the article; style-tree noise stays."""
+    """Text of ``node`` by blocks; a block element starts and ends one.  ``inside``: ``node`` is a main element."""
     work: list = [(node, False)]
     while work:
         x, leaving = work.pop()
@@ -157,7 +164,7 @@ def walk_blocks(node: Node, removed: frozenset | set, inside: bool, out: list[li
         if leaving:
             out.append([])
             continue
-        if x is not node and (x.noise or not inside and x.path in removed):
+        if x is not node and (x.noise or key_of(x, inside) in removed):
             if block and out[-1]:
                 out.append([])
             continue
@@ -204,30 +211,37 @@ def hash_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
-def styles(page: str) -> list[tuple[int, int, int, int, int]]:
-    """(path, hash of the child sequence, number of child styles, hash of its text, hash of the page's) of every style path."""
+def styles(page: str) -> list[tuple[int, bool, int, int, int, int]]:
+    """(path, whether in a main element, hash of the child sequence, number of child styles, hash of its text, hash of the page's) of every style path."""
     root = parse(page)
-    whole = signed(hash_of(text_of_parts(root, main_parts(root))))
+    own = main_parts(root)
+    whole = signed(hash_of(text_of_parts(root, own)))
+    main = set(map(id, own))
     # a node's strings follow each other, so that its text's hash comes from the page's prefix hashes: linear at any depth
     prefix, power = [0], [1]
     says: dict[int, int] = {}
     children: dict[int, list[int]] = {}
-    work: list = [(root, -1)]
+    within: set[int] = set()
+    work: list = [(root, False, -1)]
     while work:
-        x, start = work.pop()
+        x, inside, start = work.pop()
         if isinstance(x, str):
             if words := x.split():
                 prefix.append((prefix[-1] * BASE + hash_of(" ".join(words))) % PRIME)
                 power.append(power[-1] * BASE % PRIME)
             continue
+        inside = inside or id(x) in main
+        key = key_of(x, inside)
         if start >= 0:
             n = len(prefix) - 1 - start
-            says[x.path] = ((says.get(x.path, 0) - prefix[start]) * power[n] + prefix[-1]) % PRIME
+            says[key] = ((says.get(key, 0) - prefix[start]) * power[n] + prefix[-1]) % PRIME
             continue
-        children.setdefault(x.path, []).extend(p.path for p in x.parts if not isinstance(p, str))
-        work.append((x, len(prefix) - 1))
-        work.extend((p, -1) for p in reversed(x.parts))
-    return [(p, signed(xxhash.xxh64_intdigest("\n".join(map(str, k)))), len(set(k)), says[p], whole) for p, k in children.items() if p]
+        children.setdefault(key, []).extend(p.path for p in x.parts if not isinstance(p, str))
+        if inside:
+            within.add(key)
+        work.append((x, inside, len(prefix) - 1))
+        work.extend((p, inside, -1) for p in reversed(x.parts))
+    return [(p, p in within, signed(xxhash.xxh64_intdigest("\n".join(map(str, k)))), len(set(k)), says[p], whole) for p, k in children.items() if p]
 
 
 def host(url: str = "url"):
@@ -235,7 +249,7 @@ def host(url: str = "url"):
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path, pages, presentation, content, importance: the merged tree, a row for each node."""
+    """host, path, inside, pages, presentation, content, importance: the merged tree, a row for each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -245,21 +259,22 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
                 got = styles(page.as_py() or "")
                 hosts += [h] * len(got)
                 rows += got
-            cols = list(zip(*rows)) or [(), (), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["host", "path", "look", "kinds", "says", "whole"])
+            cols = list(zip(*rows)) or [(), (), (), (), (), ()]
+            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((hosts, *cols), kinds)], names=["host", "path", "inside", "look", "kinds", "says", "whole"])
 
-    seen = pages.select(host(url_col).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "host string, path long, look long, kinds int, says long, whole long")
+    seen = pages.select(host(url_col).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "host string, path long, inside boolean, look long, kinds int, says long, whole long")
     # one row for pages that say the same: a copied page is no evidence of what the site repeats
-    apart = cut(seen.groupBy("host", "path", "whole").agg(F.min(F.struct("look", "kinds", "says")).alias("x")).select("host", "path", "x.*"))
-    spread = lambda c: apart.groupBy("host", "path", c).agg(F.count("*").alias("n"), F.max("kinds").alias("kinds")).groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("x"), F.max("kinds").alias("kinds"))
-    look = spread("look").select("host", "path", F.col("m").alias("pages"), "kinds", F.when(F.col("m") > 1, 1 - F.col("x") / (F.col("m") * F.log("m"))).otherwise(1.0).alias("presentation"))
+    apart = cut(seen.groupBy("host", "path", "whole").agg(F.min(F.struct("inside", "look", "kinds", "says")).alias("x")).select("host", "path", "x.*"))
+    spread = lambda c: apart.groupBy("host", "path", c).agg(F.count("*").alias("n"), F.max("kinds").alias("kinds"), F.max("inside").alias("inside")).groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("x"), F.max("kinds").alias("kinds"), F.max("inside").alias("inside"))
+    look = spread("look").select("host", "path", "inside", F.col("m").alias("pages"), "kinds", F.when(F.col("m") > 1, 1 - F.col("x") / (F.col("m") * F.log("m"))).otherwise(1.0).alias("presentation"))
     says = spread("says").select("host", "path", F.when(F.col("m") > 1, 1 - F.col("x") / (F.col("m") * F.log("m"))).otherwise(1.0).alias("content"))
     g = F.pow(F.lit(DECAY), F.col("kinds"))
-    return look.join(says, ["host", "path"]).select("host", "path", "pages", "presentation", "content", ((1 - g) * F.col("presentation") + g * F.col("content")).alias("importance"))
+    return look.join(says, ["host", "path"]).select("host", "path", "inside", "pages", "presentation", "content", ((1 - g) * F.col("presentation") + g * F.col("content")).alias("importance"))
 
 
 def noise_paths(tree: DataFrame) -> DataFrame:
-    return tree.filter((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LOW)).select("host", "path")
+    return tree.filter((F.col("pages") >= F.when(F.col("inside"), LEAST_ARTICLES).otherwise(LEAST_PAGES)) & (F.col("importance") < LOW) & (F.col("content") < LOW)).select("host", "path")
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

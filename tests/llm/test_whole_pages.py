@@ -29,3 +29,21 @@ def test_repeated_text_goes_at_any_depth_and_on_small_hosts(spark, n):
 def test_copies_of_a_page_stay_whole(spark):
     page = "<div class=top>same words</div><div class=text>the copied words</div>"
     assert texts(spark, [("http://a.example.com/", page)] * 6) == ["same words\n\nthe copied words"] * 6
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_repeated_text_goes_inside_articles(spark, tag):
+    box = "<div class=box>written by our staff, all rights with the house and its many partners</div>"
+    pages = [("http://a.example.com/", f"<div>menu</div><{tag}><p>own words {i}</p>{box}</{tag}>") for i in range(12)]
+    assert texts(spark, pages) == [f"own words {i}" for i in range(12)]
+
+
+def test_shared_articles_stay_whole(spark):
+    page = "<article><h1>title</h1><p>shared words</p><div class=box>more</div></article>"
+    assert texts(spark, [("http://a.example.com/", page)] * 12) == ["title\n\nshared words\n\nmore"] * 12
+
+
+def test_branches_that_look_alike_but_differ_stay(spark):
+    kinds = "".join(f"<div class=k{k}>{{0}} {k}</div>" for k in range(30))
+    pages = [("http://a.example.com/", f"<article><section>{kinds.format(i)}</section></article>") for i in range(6)]
+    assert texts(spark, pages) == ["\n\n".join(f"{i} {k}" for k in range(30)) for i in range(6)]
