@@ -27,10 +27,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each SimHash component, and one row of it."""
-    key, kept, place = free(docs, "__key", "__kept", "__n")
-    keyed = docs.withColumn(key, row_id())
-    firsts = simhash.near_duplicates(keyed, id_col=key).filter("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
+    """Keep the row of the smallest id of each SimHash component; rows of one id with other texts are told apart by these."""
+    key, kept, place, order = free(docs, "__key", "__kept", "__n", "__id")
+    keyed = docs.withColumn(order, row_id()).withColumn(key, F.xxhash64(order, F.col("text").cast("string")))
+    marks = simhash.near_duplicates(keyed, id_col=key).distinct()
+    ids = keyed.groupBy(key).agg(F.min(order).alias(order))
+    firsts = marks.join(ids, F.col("doc_id") == F.col(key)).groupBy("component_id").agg(F.min(F.struct(order, key)).alias("first")).select(F.col(f"first.{key}").alias(kept))
     rows = keyed.join(firsts, F.col(key) == F.col(kept), "left_semi")
     return rows.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy("text"))).filter(F.col(place) == 1).select(*columns_of(docs))
 
