@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +21,13 @@ SHARDS = 24
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the labelled rows and drop what has no language: null texts and texts without a letter."""
+    """Learn from the labelled rows and drop what has no language: null texts and texts without a letter.
+
+    Without labelled rows to learn from, no language is told from another, and the same is dropped, no more.
+    """
     model = language.learn(docs.filter(~language.held_out()), "text", "lang")
+    if not model[0]:
+        model = ["any"], np.zeros((language.BUCKETS, 1), np.float32)
     lang, score = free(docs, "__lang", "__score")
     return language.predict(docs, model, lang=lang, score=score).filter(F.col(lang) != "und").select(*columns_of(docs))
 

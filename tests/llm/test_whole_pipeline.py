@@ -10,3 +10,8 @@ def test_rows_of_one_id_with_other_texts_stay(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in [(1, ONE), (2, ONE), (2, TWO), (3, TWO), (2, TWO)]], SCHEMA)
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(1, ONE), (2, TWO)]
+
+
+def test_without_labels_texts_with_letters_stay(spark):
+    docs = spark.createDataFrame([(i, t, None, "a", 1) for i, t in enumerate([ONE, TWO, None, "", "12 34"])], SCHEMA)
+    assert sorted(r["text"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [ONE, TWO]
