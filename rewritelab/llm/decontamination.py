@@ -9,14 +9,17 @@ are long:
   of a partition has at most floor(0.2 * size) shingles outside a document that contains it, fewer than k, so
   one value at least is met in the document: no contained item is missed, however long the document.
 * Every shingle hash of every document probes the sketches, in one pass without a shuffle while the sketches
-  are few (their number is counted first), by a shuffled join of hashes beyond.
-* Each candidate pair is verified on the words themselves: exact containment of shingle strings.
+  are few (their number is counted first), by a shuffled join of hashes beyond.  What probes is a row of two
+  numbers, so time is linear in a text's length.
+* Documents that meet a sketch are read again, and their shingles, as words, are counted against the items':
+  exact containment.
 
-Scale: documents' texts are never shuffled on the main path; what leaves a task is verified pairs.
+Scale: documents' texts are shuffled only if more than BROADCAST_KEYS documents meet a sketch, and then only theirs.
+Documents are found again by a 64-bit hash of id and text; should two share one, both are counted exactly.
 
 Defined results: null texts count as empty; items without words match nothing; documents without words match
-nothing; repeated ids give one row for each pair of ids, with the largest containment; extra columns are
-ignored; empty tables give no pairs.
+nothing; a null id is an id; repeated ids give one row for each pair of ids, with the largest containment; extra
+columns are ignored; empty tables give no pairs.
 """
 
 from __future__ import annotations
@@ -27,58 +30,80 @@ from pyspark.sql import functions as F
 from .common import BLANKS, cut, table, text_of
 
 WORDS, SHARE = 5, 0.8
-#: Up to this number of sketch values, and of bytes of the shingles beside them, the sketches go to every executor.
+#: Up to this number of sketch values, and of bytes of the items' shingles, the items go to every executor.
 BROADCAST_VALUES, BROADCAST_BYTES = 400_000, 128 << 20
+#: Documents that meet a sketch, up to which their keys (a long each) go to every executor.
+BROADCAST_KEYS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), BLANKS), lambda w: w != "")
+    """Lower-case words; an empty array without any."""
+    trimmed = F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANKS))
 
 
-def starts(words: Column) -> Column:
-    """Start positions of shingles; none without words."""
-    return F.when(F.size(words) > 0, F.sequence(F.lit(1), F.greatest(F.size(words) - (WORDS - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+def runs_of(items: Column) -> Column:
+    """Structs 0 to 4 of all runs of five items; of fewer, one run with nulls behind; none without items."""
+    n = F.greatest(F.size(items) - (WORDS - 1), F.lit(1))
+    return F.arrays_zip(*[F.slice(items, F.lit(i + 1), n).alias(str(i)) for i in range(WORDS)])
 
 
-def shingles(words: Column) -> Column:
-    return F.transform(starts(words), lambda i: F.array_join(F.slice(words, i, WORDS), " "))
+def run_hash(run: Column | None = None) -> Column:
+    """MinHash base value of a run of word hashes: a struct, or columns 0 to 4."""
+    return F.xxhash64(*[F.col(str(i)) if run is None else run[str(i)] for i in range(WORDS)])
 
 
-def shingle_hashes(words: Column) -> Column:
-    """MinHash base values: one 64-bit hash a shingle, chained over its words."""
-    return F.transform(starts(words), lambda i: F.xxhash64(*[F.get(words, i + (j - 1)) for j in range(WORDS)]))
+def run_text(run: Column) -> Column:
+    return F.concat_ws(" ", *[run[str(i)] for i in range(WORDS)])
 
 
 def sketches(items: DataFrame, item_id: str, text_col: str, share: float = SHARE) -> DataFrame:
-    """__item, __shingles (distinct strings), __value: a row for each value of the item's sketch."""
-    sized = (
-        items.select(F.col(item_id).alias("__item"), words_of(text_of(text_col)).alias("__words"))
-        .filter(F.size("__words") > 0)
-        .select("__item", F.array_distinct(shingles(F.col("__words"))).alias("__shingles"), F.array_sort(F.array_distinct(shingle_hashes(F.col("__words")))).alias("__hashes"))
-        .distinct()
+    """__of (a number for each row of ``items``), __item, __n (its shingles), __shingles (distinct strings), __sketch (values)."""
+    words = items.select(F.col(item_id).alias("__item"), words_of(text_of(text_col)).alias("__words")).filter(F.size("__words") > 0)
+    hashed = words.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
+    sized = hashed.select(
+        F.monotonically_increasing_id().alias("__of"),
+        "__item",
+        F.array_distinct(F.transform(runs_of(F.col("__words")), run_text)).alias("__shingles"),
+        F.array_sort(F.array_distinct(F.transform(runs_of(F.col("__hashes")), lambda r: run_hash(r)))).alias("__values"),
     )
-    size_class = F.floor(F.log2(F.size("__hashes"))).cast("int")
+    size_class = F.floor(F.log2(F.size("__values"))).cast("int")
     largest = F.pow(F.lit(2), size_class + 1) - 1
     k = F.floor(F.lit(1 - share) * largest + F.lit(1e-9)).cast("int") + 1
-    return sized.select("__item", "__shingles", F.explode(F.slice("__hashes", F.lit(1), k)).alias("__value"))
+    return sized.select("__of", "__item", F.size("__shingles").alias("__n"), "__shingles", F.slice("__values", F.lit(1), k).alias("__sketch"))
 
 
 def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
     """Pairs (doc_id, item_id, n_shingles, n_found, containment) with containment of at least ``share``."""
-    values = cut(sketches(items, item_id, text_col, share))
-    size = values.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.array_join("__shingles", " "))).alias("bytes")).first()
-    few = size["n"] <= BROADCAST_VALUES and (size["bytes"] or 0) <= BROADCAST_BYTES
-    spread = docs.select(F.col(doc_id).alias("__doc"), words_of(text_of(text_col)).alias("__words"))
-    hits = spread.select("__doc", "__words", F.explode(F.array_distinct(shingle_hashes(F.col("__words")))).alias("__value"))
+    sized = cut(sketches(items, item_id, text_col, share))
+    size = sized.agg(F.sum(F.size("__sketch")).alias("n"), F.sum(F.octet_length(F.array_join("__shingles", " "))).alias("bytes")).first()
+    few = (size["n"] or 0) <= BROADCAST_VALUES and (size["bytes"] or 0) <= BROADCAST_BYTES
+    rows = docs.select(F.col(doc_id).alias("__doc"), text_of(text_col).alias("__text"))
+    rows = rows.withColumn("__key", F.xxhash64("__doc", "__text"))
+
+    hashed = rows.select("__key", F.transform(words_of(F.col("__text")), lambda w: F.xxhash64(w)).alias("__hashes"))
+    probes = hashed.select("__key", F.inline(runs_of(F.col("__hashes")))).select("__key", run_hash().alias("__value"))
+    values = sized.select("__of", F.explode("__sketch").alias("__value"))
+    shingles = sized.select("__of", "__item", "__n", F.explode("__shingles").alias("__shingle"))
     if few:
-        met = hits.join(F.broadcast(values), "__value")
+        pairs = None
+        keys = probes.join(F.broadcast(values.select("__value").distinct()), "__value", "left_semi").select("__key").distinct()
     else:
-        pairs = hits.select("__doc", "__value").join(values.select("__value", "__item"), "__value").select("__doc", "__item").distinct()
-        met = spread.join(pairs, "__doc").join(values.select("__item", "__shingles").distinct(), "__item")
-    found = F.size(F.array_intersect(F.col("__shingles"), shingles(F.col("__words"))))
-    verified = met.select("__doc", "__item", F.size("__shingles").alias("__n"), found.alias("__found")).filter(F.col("__found") >= F.lit(share) * F.col("__n"))
+        pairs = cut(probes.distinct().join(values, "__value").select("__key", "__of").distinct())
+        keys = pairs.select("__key").distinct()
+    keys = cut(keys)
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    near = rows.join(keys, "__key").select(F.monotonically_increasing_id().alias("__row"), "__key", "__doc", words_of(F.col("__text")).alias("__words"))
+    near = near.select("__row", "__key", "__doc", F.explode(F.array_distinct(F.transform(runs_of(F.col("__words")), run_text))).alias("__shingle"))
+    if few:
+        met = near.join(F.broadcast(shingles), "__shingle")
+    else:  # a shingle that many items and documents share meets only within candidate pairs
+        met = near.join(pairs, "__key").join(shingles, ["__of", "__shingle"])
+    found = met.groupBy("__row", "__of").agg(F.first("__doc").alias("__doc"), F.first("__item").alias("__item"), F.first("__n").alias("__n"), F.count("*").cast("int").alias("__found"))
     return (
-        verified.groupBy("__doc", "__item")
+        found.filter(F.col("__found") >= F.lit(share) * F.col("__n"))
+        .groupBy("__doc", "__item")
         .agg(F.max(F.struct(F.col("__found") / F.col("__n"), "__n", "__found")).alias("__best"))
         .select(
             F.col("__doc").alias(doc_id),

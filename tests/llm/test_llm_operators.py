@@ -89,21 +89,20 @@ def test_hot_fingerprints_are_cut_into_tiles(spark):
     assert all(got.get(x, x) == root(x) for x in fps)
 
 
-def test_decontamination(spark, docs, empty):
+def test_decontamination(spark, docs, empty, monkeypatch):
     items = spark.createDataFrame([(1, BASE), (2, "a b"), (3, None), (4, ""), (5, "not in any of these texts here"), (6, "alpha beta gamma delta epsilon zeta eta theta iota kappa wrong")], "item_id long, text string")
 
     def grams(t):
         w = (t or "").lower().split()
         return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
-    want = {(d["doc_id"], i["item_id"]) for d in docs.collect() for i in items.collect() if grams(i["text"]) and len(grams(i["text"]) & grams(d["text"])) >= 0.8 * len(grams(i["text"]))}
-    for limit in (decontamination.BROADCAST_VALUES, 0):  # both ways of joining
-        keep, decontamination.BROADCAST_VALUES = decontamination.BROADCAST_VALUES, limit
-        try:
-            got = {(r["doc_id"], r["item_id"]) for r in decontamination.contained(docs, items).collect()}
-        finally:
-            decontamination.BROADCAST_VALUES = keep
-        assert got == want if limit else {p for p in got if p[0] is not None} == {p for p in want if p[0] is not None}
+    want = {(d["doc_id"], i["item_id"]): len(own & grams(d["text"])) for d in docs.collect() for i in items.collect() if (own := grams(i["text"])) and len(own & grams(d["text"])) >= 0.8 * len(own)}
+    assert any(d is None for d, _ in want)
+    for values, keys in ((400_000, 1_000_000), (0, 1_000_000), (400_000, 0), (0, 0)):  # all ways of joining
+        monkeypatch.setattr(decontamination, "BROADCAST_VALUES", values)
+        monkeypatch.setattr(decontamination, "BROADCAST_KEYS", keys)
+        rows = decontamination.contained(docs, items).collect()
+        assert len(rows) == len(want) and {(r["doc_id"], r["item_id"]): r["n_found"] for r in rows} == want
     assert decontamination.contained(empty, items).count() == 0 and decontamination.contained(docs, items.limit(0)).count() == 0
 
 
