@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What separates words, as a Java pattern: space and 0x09 to 0x0D.
@@ -68,6 +68,16 @@ def join_unique(rows: DataFrame, side: DataFrame, key: str, counts: DataFrame, n
     return rows.join(heavy, key, "left_semi").join(near, key, how).unionByName(rows.join(heavy, key, "left_anti").join(side, key, how))
 
 
+#: Rows of a side that is broadcast after they are counted, of a few numbers each.
+MOST_BROADCAST = 1_000_000
+
+
+def small(side: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``side``, computed once, marked for a broadcast if it has ``most`` rows at most (they should be short)."""
+    side = cut(side)
+    return F.broadcast(side) if side.count() <= most else side
+
+
 def text_of(name: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -82,6 +92,39 @@ def row_id(name: str = "doc_id", text: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(2**62) + F.shiftrightunsigned(F.xxhash64(F.col(text).cast("string")), 2))
 
 
+def number_rows(rows: DataFrame, order: list[str], name: str = "__row") -> tuple[DataFrame, int]:
+    """``rows`` with their rank by ``order`` (from 0, a long), and their number.
+
+    Rows are dealt to ranges of the whole ``order``, so that many rows of one id are split by what tells them apart;
+    one count for each range reaches the driver.  Rows equal in all of ``order`` are interchangeable.
+    """
+    at = free(rows, "__at")[0]
+    dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn(at, F.monotonically_increasing_id())
+    counts = dealt.groupBy(F.shiftright(at, 33).cast("int").alias("part")).count().orderBy("part").collect()
+    starts, total = [], 0
+    for r in counts:
+        starts.append((r["part"], total))
+        total += r["count"]
+    start = F.broadcast(dealt.sparkSession.createDataFrame(starts, "__part int, __start long"))  # one row for each partition
+    met = dealt.join(start, F.shiftright(at, 33).cast("int") == F.col("__part"))
+    return met.withColumn(name, F.col("__start") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at, "__part", "__start"), total
+
+
+def stored_rows(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df``, as read from Parquet, with each row's number in stored order (files by name, rows as they stand), and their number.
+
+    Nothing is shuffled but a count for each file.  Where ``df`` is not a table of files, pyspark.errors.AnalysisException.
+    """
+    path, index = free(df, "__path", "__index")
+    placed = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(index))
+    part = F.coalesce(F.try_to_number(F.regexp_extract(path, r"part-([0-9]{1,18})[^/]*$", 1), F.lit("9" * 18)).cast("long"), F.lit(-1))
+    sizes = cut(placed.groupBy(path).agg((F.max(index) + 1).alias("__n")).withColumn("__part", part))
+    before = Window.orderBy("__part", path).rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    starts = sizes.select(F.col(path).alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    met = placed.join(small(starts), F.col(path) == F.col("__of"))
+    return met.withColumn(name, F.col("__start") + F.col(index)).drop(path, index, "__of", "__start"), sizes.agg(F.sum("__n")).first()[0] or 0
+
+
 def id_bounds(ids: DataFrame, key: str, rows: int, per_range: int = 200_000, least: int = 16, most: int = 2048) -> list[int]:
     """Ascending values of ``key`` that cut the rows into ranges of similar size; the first is the minimum.
 

@@ -4,9 +4,10 @@ Targets: sources in code point order (null last) weigh 3, 1, 2 and again; togeth
 that there are; a source's target stops at twice its words and the excess goes to the others by weight, until none is
 above.  That is one water level: target = min(2 * size, level * weight).
 
-Which documents: a source runs through its documents in an order of hashes, whole passes first, then the part of a
-pass that is left (the few documents with over 1/200 of the source's words come first); a document is in that part if the middle of its words is.  Taken words miss the target by half a
-document at most.  No document is taken more than twice.
+Which documents: a source runs through its documents in one order, whole passes first, then the part of a pass that is
+left.  First in that order come those of the documents with over 1/200 of the source's words (fewer than 200) that fit into
+the part, the largest first; then all smaller documents, by hash; then the other large ones.  A document is in the part if
+the middle of its words is, so taken words miss the target by half a small document.  No document is taken more than twice.
 
 Where they go: over training time t in [0, 1] a source's weight changes linearly, its schedule
 w(t) = target * (1 + slope * (2t - 1)).  The integral target * (t + slope * (t*t - t)) is the source's cumulative
@@ -31,8 +32,10 @@ from .common import columns_of, cut, free, id_key, row_id, table, text_of
 WEIGHTS, SHARE, MOST_PASSES = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Slopes of the schedules, by source in turn: rising, falling, flat.
 SLOPES = (0.5, -0.5, 0.0)
-#: Documents with over 1/LARGE of their source's words come first in each pass, so that the cut is among small ones.
+#: Documents with over 1/LARGE of their source's words are chosen one by one, so that the cut is among small ones.
 LARGE = 200
+#: Buckets of large documents, before and after those of the others.
+FIRST, LAST = -1, 1 << 40
 #: Sources up to which their totals are broadcast (a few bytes each).
 MOST_BROADCAST = 100_000
 #: A word, as a Java pattern.
@@ -77,19 +80,37 @@ def position(done: Column, target: Column, slope: Column) -> Column:
     return F.when(slope == 0, u).otherwise((root - (1 - slope)) / (2 * slope))
 
 
+def chosen_large(large: DataFrame, goals: DataFrame) -> DataFrame:
+    """The rows of ``large`` (fewer than LARGE a source) with ``__bucket``: FIRST for those that fill the part of a pass, LAST for others.
+
+    By falling size, each document that still fits into what is left of the part is chosen.
+    """
+    own = large.groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("less"), "__order", "doc_id", "size"))).alias("__all"))
+    met = own.join(goals.select(F.col("source").alias("__of"), (F.col("target") - F.floor(F.col("target") / F.col("source_size") + F.lit(1e-12)) * F.col("source_size")).alias("__part")), F.col("source").eqNullSafe(F.col("__of")))
+    none = F.struct(F.col("__part").cast("double").alias("left"), F.expr("CAST(array() AS array<boolean>)").alias("fits"))
+
+    def add(now: Column, x: Column) -> Column:
+        fits = x["size"] <= now["left"]
+        return F.struct((now["left"] - F.when(fits, x["size"]).otherwise(0)).cast("double").alias("left"), F.concat(now["fits"], F.array(fits)).alias("fits"))
+
+    dealt = met.select("source", F.inline(F.arrays_zip("__all", F.aggregate("__all", none, add, lambda x: x["fits"]).alias("fits"))))
+    return dealt.select(F.col("__all.doc_id").alias("doc_id"), "source", F.col("__all.size").alias("size"), F.col("__all.__order").alias("__order"), F.when(F.col("fits"), FIRST).otherwise(LAST).cast("long").alias("__bucket"))
+
+
 def plan_mix(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **rules) -> DataFrame:
     """doc_id, size, source, source_size, target, copies, taken, positions (ascending training positions of the copies)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text_of(text_col)).alias("size"), F.xxhash64(F.lit(seed), id_key(id_col)).alias("__order"))
+    order = F.xxhash64(F.lit(seed), id_key(id_col), F.col(text_col).cast("string"))  # rows without an id, or of one, are spread by their texts
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text_of(text_col)).alias("size"), order.alias("__order"))
     rows = cut(rows)  # ids and sizes; the texts are read once
     n = rows.count()
     per = max(6, min(24, (max(1, n) // 20_000).bit_length()))
-    rows = rows.withColumn("__bucket", F.shiftrightunsigned("__order", 64 - per)).withColumn("__order", F.shiftleft("__order", per))
     goals = cut(targets(rows.select("source", "size"), **rules))
     total_of = goals.select(F.col("source").alias("__of"), F.col("source_size").alias("__total"))
     if goals.count() <= MOST_BROADCAST:
         total_of = F.broadcast(total_of)
-    large = F.col("size") * LARGE > F.col("__total")
-    rows = rows.join(total_of, F.col("source").eqNullSafe(F.col("__of"))).withColumn("__bucket", F.when(large, F.lit(-1).cast("long")).otherwise(F.col("__bucket"))).drop("__of", "__total")
+    known = rows.join(total_of, F.col("source").eqNullSafe(F.col("__of"))).withColumn("__large", F.col("size") * LARGE > F.col("__total")).drop("__of", "__total")
+    few = known.filter("NOT __large").select("doc_id", "source", "size", F.shiftleft("__order", per).alias("__order"), F.shiftrightunsigned("__order", 64 - per).alias("__bucket"))
+    rows = cut(few.unionByName(chosen_large(known.filter("__large").drop("__large"), goals)))
     sums = rows.groupBy("source", "__bucket").agg(F.sum("size").alias("__sum"))
     ahead = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("__source"), F.col("__bucket").alias("__at"), F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__base"))
@@ -111,10 +132,10 @@ def plan_mix(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
     """The documents' rows as the mix takes them, repeated, range-sorted by training position.
 
-    Ids should be unique; should one repeat, its rows are taken alike.  Rows without an id are told apart by their texts.
+    Rows are told apart by id and text; rows equal in both are taken alike.
     """
     key, places, place = free(docs, "__key", "__positions", "__position")
-    keyed = docs.withColumn(key, row_id(id_col, text_col))
+    keyed = docs.withColumn(key, F.xxhash64(row_id(id_col, text_col), F.col(text_col).cast("string")))
     plan = plan_mix(keyed, id_col=key, text_col=text_col, **rules).filter("copies > 0").groupBy("doc_id").agg(F.min("positions").alias(places))
     met = keyed.join(plan.withColumnRenamed("doc_id", key), key).withColumn(place, F.explode(places))
     return met.repartitionByRange(place, key).sortWithinPartitions(place, key).select(*columns_of(docs))

@@ -5,8 +5,11 @@ and a permuted number p goes to shard p mod S, slot p div S.  The law that holds
 by one row at most and slots have no gaps.  The place of any row follows from its number, the number of
 rows and the seed alone, so a trainer computes it, or its inverse, without a table.
 
-Scale: only ids, sizes and checksums are shuffled, never texts.  Numbers come from range counts: at most
-2048 counts reach the driver, and the rank within a range is a window over that range.
+A table that is stored in a meaningful order (the pipeline's, which is sorted by training position) is numbered as it
+stands and permuted within windows, so that slots follow that order: see shard_stored.
+
+Scale: only ids, sizes and checksums are shuffled, never texts, to ranges of (id, checksum, size); a count for each
+range reaches the driver.  A stored order needs no shuffle at all.
 
 Defined results: null text counts as empty; a null id sorts before the others; rows with equal ids are
 numbered by checksum and size, and rows equal in these too are interchangeable; an empty table gives no rows;
@@ -17,15 +20,18 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_bounds, id_key, range_of, table, text_of
+from .common import free, id_key, number_rows, stored_rows, table, text_of
 
 ROUNDS = 6
 #: For n <= 256 every cycle leaves the surplus within this many steps; beyond, all rows do but for a chance of n**-7.
 WALKS = 16
 SEED = 20240229
+#: Slots of a window of a stored order.
+WINDOW = 1024
 
 
 def domain(n: int) -> tuple[int, int]:
@@ -34,9 +40,9 @@ def domain(n: int) -> tuple[int, int]:
     return a, max(1, -(-n // a))
 
 
-def permute_once(x: Column, a: int, b: int, seed: int) -> Column:
+def permute_once(x: Column, a: int, b: int, seed: Column) -> Column:
     """One pass of a Feistel network over [0, a*b): the halves are x div b and x mod b, and take turns."""
-    keys = F.array(*[F.struct(F.lit(i % 2 == 0).alias("left"), F.xxhash64(F.lit(seed), F.lit(i)).alias("key")) for i in range(ROUNDS)])
+    keys = F.array(*[F.struct(F.lit(i % 2 == 0).alias("left"), F.xxhash64(seed, F.lit(i)).alias("key")) for i in range(ROUNDS)])
     halves = F.struct(F.floor(x / F.lit(b)).cast("long").alias("l"), (x % F.lit(b)).cast("long").alias("r"))
 
     def step(s: Column, k: Column) -> Column:
@@ -47,7 +53,7 @@ def permute_once(x: Column, a: int, b: int, seed: int) -> Column:
     return F.aggregate(keys, halves, step, lambda s: s["l"] * F.lit(b) + s["r"])
 
 
-def feistel(x: Column, n: int, seed: int = SEED) -> Column:
+def feistel(x: Column, n: int, seed: Column) -> Column:
     """A permutation of [0, n): values that leave [0, n) walk on along their cycle until they are back."""
     if n < 2:
         return x
@@ -56,34 +62,33 @@ def feistel(x: Column, n: int, seed: int = SEED) -> Column:
     return F.when(walk < F.lit(n), walk).otherwise(F.raise_error(F.lit("cycle walking did not end: use another seed")).cast("long"))
 
 
-def number_rows(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
-    """Add ``__row``, the global rank by ``order`` (its first column a long without nulls), without a global sort.
+def feistel_in_windows(x: Column, n: int, window: int, seed: int = SEED) -> Column:
+    """A permutation of [0, n) that keeps every number in its window of ``window`` numbers; each window has its own keys."""
+    whole = n // window * window
+    own = F.floor(x / F.lit(window)).cast("long")
+    inside = own * F.lit(window) + feistel(x % F.lit(window), window, F.xxhash64(F.lit(seed), own))
+    last = F.lit(whole) + feistel(x - F.lit(whole), n - whole, F.lit(seed))
+    return F.when(x < F.lit(whole), inside).otherwise(last) if whole else last
 
-    Two small jobs come first: cut points of the first column, and counts by range.
-    """
-    n = rows.count()
-    bounds = id_bounds(rows, order[0], n)
-    ranged = rows.withColumn("__range", range_of(F.col(order[0]), bounds))
-    counts = {r["__range"]: r["count"] for r in ranged.groupBy("__range").count().collect()}
-    starts, total = [], 0
-    for i in range(max(1, len(bounds))):
-        starts.append(total)
-        total += counts.get(i, 0)
-    rank = F.row_number().over(Window.partitionBy("__range").orderBy(*order)).cast("long")
-    start = F.get(F.array(*[F.lit(s).cast("long") for s in starts]), F.col("__range"))
-    return ranged.withColumn("__row", start + rank - 1).drop("__range"), n
 
+def placed(numbered: DataFrame, n: int, shards: int, row: str, seed: int = SEED, window: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, position (the permuted row number) of rows numbered 0 to n-1 in ``row``.
 
-def shard_rows(docs: DataFrame, shards: int, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, position (the permuted row number)."""
-    rows = docs.select(
-        id_key(id_col).alias("__key"),
+    Without ``window`` the permutation is over all rows.  With it, rows are permuted within windows of so many rows
+    (a multiple of the shards), so that slots follow the order of the rows from window to window.
+    """
+    position = feistel(F.col(row), n, F.lit(seed)) if window is None else feistel_in_windows(F.col(row), n, window, seed)
+    rows = numbered.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text_of(text_col)).cast("long") + 8).alias("size"),
         F.crc32(text_of(text_col)).alias("text_crc32"),
+        position.alias("position"),
     )
-    numbered, n = number_rows(rows, ["__key", "text_crc32", "size"])
-    return numbered.withColumn("position", feistel(F.col("__row"), n, seed)).select(
+    return with_shard(rows, shards)
+
+
+def with_shard(rows: DataFrame, shards: int) -> DataFrame:
+    return rows.select(
         "doc_id",
         "size",
         "text_crc32",
@@ -95,5 +100,31 @@ def shard_rows(docs: DataFrame, shards: int, seed: int = SEED, id_col: str = "do
     )
 
 
+def shard_rows(docs: DataFrame, shards: int, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of ``placed``; rows are numbered by id, then by checksum and size."""
+    rows = docs.select(
+        id_key(id_col).alias("__key"),
+        F.col(id_col).cast("long").alias("doc_id"),
+        (F.octet_length(text_of(text_col)).cast("long") + 8).alias("size"),
+        F.crc32(text_of(text_col)).alias("text_crc32"),
+    )
+    numbered, n = number_rows(rows, ["__key", "text_crc32", "size"])
+    return with_shard(numbered.withColumn("position", feistel(F.col("__row"), n, F.lit(seed))), shards)
+
+
+def shard_stored(docs: DataFrame, shards: int, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """The columns of ``placed``, for a table whose stored order means something, say a curriculum: slots follow it.
+
+    Rows are numbered as they are stored and permuted within windows of ``window`` slots of all shards.  Rows that
+    come from no files are numbered by id.
+    """
+    row = free(docs, "__row")[0]
+    try:
+        numbered, n = stored_rows(docs, row)
+    except AnalysisException:  # not a table of files: no stored order
+        return shard_rows(docs, shards, seed)
+    return placed(numbered, n, shards, row, seed, window * shards)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), 24)

@@ -42,7 +42,7 @@ def test_sharding(docs, empty):
 
 @pytest.mark.parametrize("n", [1, 2, 3, 65, 1000])
 def test_feistel_is_a_permutation(spark, n):
-    got = [r[0] for r in spark.range(n).select(sharding.feistel(F.col("id"), n, 3)).collect()]
+    got = [r[0] for r in spark.range(n).select(sharding.feistel(F.col("id"), n, F.lit(3))).collect()]
     assert sorted(got) == list(range(n)) and (n < 65 or got != sorted(got))
 
 
