@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rewritelab.llm import decontamination, language, mixing, sharding, simhash
-from rewritelab.llm.common import columns_of, free, row_id, table, with_checkpoints
+from rewritelab.llm.common import columns_of, free, row_id, small, table, with_checkpoints
 
 SHARDS = 24
 
@@ -33,32 +33,42 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the row of the smallest id of each SimHash component; rows of one id with other texts are told apart by these."""
+    """Keep the row of the smallest id of each SimHash component; rows of one id with other texts are told apart by these.
+
+    Null and empty texts, and texts without words, are one component; of rows equal in id and text one stays; an empty
+    table gives none.
+    """
     key, kept, place, order = free(docs, "__key", "__kept", "__n", "__id")
     keyed = docs.withColumn(order, row_id()).withColumn(key, F.xxhash64(order, F.col("text").cast("string")))
     marks = simhash.near_duplicates(keyed, id_col=key).distinct()
     ids = keyed.groupBy(key).agg(F.min(order).alias(order))
     firsts = marks.join(ids, F.col("doc_id") == F.col(key)).groupBy("component_id").agg(F.min(F.struct(order, key)).alias("first")).select(F.col(f"first.{key}").alias(kept))
     rows = keyed.join(firsts, F.col(key) == F.col(kept), "left_semi")
-    return rows.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy("text"))).filter(F.col(place) == 1).select(*columns_of(docs))
+    return rows.withColumn(place, F.row_number().over(Window.partitionBy(key, order, F.crc32("text"), F.length("text")).orderBy("text"))).filter(F.col(place) == 1).select(*columns_of(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that contain a benchmark item."""
+    """Drop documents that contain a benchmark item; null and empty texts contain none and stay, as do all if there are no items."""
     key, bad = free(docs, "__key", "__bad")
-    keyed = docs.withColumn(key, F.concat_ws(":", F.col("doc_id").cast("string"), F.hex(F.xxhash64("text"))))  # rows of one id, or of none, may differ
+    keyed = docs.withColumn(key, F.concat_ws(":", F.col("doc_id").cast("string"), F.hex(F.xxhash64("text")), F.crc32("text").cast("string")))  # rows of one id, or of none, may differ
     found = decontamination.contained(keyed, table(spark, sf_dir, "benchmark"), doc_id=key)
-    return keyed.join(found.select(F.col(key).alias(bad)).distinct(), F.col(key) == F.col(bad), "left_anti").select(*columns_of(docs))
+    return keyed.join(small(found.select(F.col(key).alias(bad)).distinct()), F.col(key) == F.col(bad), "left_anti").select(*columns_of(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as the mix takes them (not at all, once or twice), range-sorted by training position."""
+    """Rows as the mix takes them (not at all, once or twice), range-sorted by training position.
+
+    Texts without words are taken not at all; a null source is a source; rows without an id are told apart by texts.
+    """
     return mixing.mixed_documents(docs)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row of the mix."""
-    return sharding.shard_rows(docs, SHARDS)
+    """Shard and slot of every row of the mix, in the order in which it is stored: slots follow the training positions.
+
+    Null texts have size 8; every row has a place of its own, repeated ones too; an empty table gives none.
+    """
+    return sharding.shard_stored(docs, SHARDS)
 
 
 STAGES = [
@@ -73,14 +83,22 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents; between stages, Parquet in the shared checkpoint folder."""
+    """All stages over the table documents; between stages, Parquet in the shared checkpoint folder, kept until the next stage is written."""
     with_checkpoints(spark)
     folder = f"{spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get('spark.checkpoint.dir')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{name}")
             docs = spark.read.parquet(f"{folder}/{name}")
+            if before is not None:
+                _delete(spark, before)
+            before = f"{folder}/{name}"
     return docs
