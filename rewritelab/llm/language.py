@@ -2,11 +2,12 @@
 
 Learning counts hashed n-grams (1 to 3 characters, lower-cased, with a space at either end) by label, over all
 labelled rows: each task sends its sums by label and bucket, Spark adds them, and the driver receives one matrix of
-BUCKETS by labels, whatever the input.  Its log probabilities are broadcast.  Prediction hashes whole texts and sums
-the matrix rows of their n-grams by segment in numpy; no text reaches an index by label.
+BUCKETS by labels, whatever the input, and the labels' document counts, the prior.  Its log probabilities are broadcast.
+Prediction hashes whole texts and sums the matrix rows of the n-grams of several texts at a time, by segment, in numpy.
 
-Only texts and labels are learnt from; source and id are never inputs.  The score is the posterior of the predicted
-label after the evidence is tempered by the square root of the number of n-grams, which are not independent.
+Only texts and labels are learnt from; source and id are never inputs.  The label is the one of the largest posterior.
+The score is its posterior after the log odds are divided by the square root of the number of n-grams, which are not
+independent.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0; ties go to the smaller label; with
 no labelled rows everything is ``und``; rows with null ids are predicted and count as held in; extra columns are ignored
@@ -34,6 +35,8 @@ ALPHA = 0.5
 MOST_LABELS = 8192
 #: Characters hashed at a time, so that memory doesn't grow with the text.
 CHUNK = 1 << 20
+#: Numbers of the matrix that are gathered at a time, and labels that a task counts before it sends sums on.
+CELLS, HELD_LABELS = 1 << 21, 64
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -53,65 +56,94 @@ def buckets(text: str) -> Iterator[np.ndarray]:
             yield (mixed >> np.uint32(32 - BITS))[-own:] if own else mixed[:0]
 
 
-def learn(rows: DataFrame, text_col: str, label_col: str) -> tuple[list[str], np.ndarray]:
-    """Labels in order, and log probabilities float32 [BUCKETS, labels]; all rows with a label are counted."""
+def learn(rows: DataFrame, text_col: str, label_col: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Labels in order, log probabilities float32 [BUCKETS, labels], and log priors; all rows with a label are counted."""
+
+    def sums_of(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for label, own in sums.items():
+            at = np.nonzero(own)[0]
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at])], names=["label", "bucket", "n"])
+        sums.clear()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for text, label in zip(b.column(0), b.column(1).to_pylist()):
-                own = sums.setdefault(label, np.zeros(BUCKETS, np.int64))
+                if label not in sums and len(sums) >= HELD_LABELS:
+                    yield from sums_of(sums)
+                own = sums.setdefault(label, np.zeros(BUCKETS + 1, np.int64))
+                own[BUCKETS] += 1  # documents
                 for at in buckets(text.as_py() or ""):
-                    own += np.bincount(at, minlength=BUCKETS)
-        for label, own in sums.items():
-            at = np.nonzero(own)[0]
-            yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at])], names=["label", "bucket", "n"])
+                    own += np.bincount(at, minlength=BUCKETS + 1)
+        yield from sums_of(sums)
 
     labelled = rows.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).filter("label IS NOT NULL AND text IS NOT NULL")
-    sums = labelled.mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
-    packed = sums.groupBy("label").agg(F.collect_list(F.struct("bucket", "n")).alias("all")).limit(MOST_LABELS + 1).collect()  # BUCKETS pairs each at most
-    if len(packed) > MOST_LABELS:
+    if labelled.select("label").distinct().limit(MOST_LABELS + 1).count() > MOST_LABELS:
         raise ValueError(f"over {MOST_LABELS} labels: the column {label_col} doesn't name languages")
+    sums = labelled.mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    packed = sums.groupBy("label").agg(F.collect_list(F.struct("bucket", "n")).alias("all")).collect()  # MOST_LABELS rows of BUCKETS + 1 pairs at most
     labels = sorted(r["label"] for r in packed)
-    counts = np.zeros((BUCKETS, len(labels)), np.float64)
+    counts = np.zeros((BUCKETS + 1, len(labels)), np.float64)
     for r in packed:
         at = np.array([x["bucket"] for x in r["all"]])
         counts[at, labels.index(r["label"])] = [x["n"] for x in r["all"]]
     if not labels:
-        return [], np.zeros((BUCKETS, 0), np.float32)
-    smooth = counts + ALPHA
-    return labels, np.log(smooth / smooth.sum(axis=0)).astype(np.float32)
-
-
-def predict_texts(texts: list[str | None], labels: list[str], logp: np.ndarray) -> tuple[list[str], list[float]]:
-    names, scores = [], []
-    for t in texts:
-        if not t or not labels or not LETTER.search(t):
-            names.append("und")
-            scores.append(0.0)
-            continue
-        total, n = np.zeros(len(labels)), 0
+        return [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0)
+    smooth = counts[:BUCKETS] + ALPHA
+    return labels, np.log(smooth / smooth.sum(axis=0)).astype(np.float32), np.log(counts[BUCKETS] / counts[BUCKETS].sum())
+
+
+def likelihoods(texts: list[str], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log likelihoods [texts, labels] and numbers of n-grams: sparse rows of several texts times the matrix, in blocks of bounded memory."""
+    total, n = np.zeros((len(texts), logp.shape[1])), np.zeros(len(texts), np.int64)
+    most = max(1, CELLS // max(1, logp.shape[1]))
+    held: list[tuple[int, np.ndarray]] = []
+    size = 0
+
+    def add() -> None:
+        nonlocal size
+        starts = np.cumsum([0, *(len(x) for _, x in held[:-1])])
+        sums = np.add.reduceat(logp.take(np.concatenate([x for _, x in held]), axis=0), starts, axis=0, dtype=np.float64)
+        np.add.at(total, [i for i, _ in held], sums)
+        held.clear()
+        size = 0
+
+    for i, t in enumerate(texts):
         for at in buckets(t):
-            # a sparse row times the matrix: rows of the matrix, gathered and summed
-            total += logp[at].sum(axis=0, dtype=np.float64)
-            n += len(at)
-        z = (total - total.max()) / np.sqrt(max(1, n))
-        best = int(np.argmax(total))
-        names.append(labels[best])
-        scores.append(float(1.0 / np.exp(z).sum()))
+            n[i] += len(at)
+            for first in range(0, len(at), most):
+                part = at[first : first + most]
+                if size + len(part) > most and held:
+                    add()
+                held.append((i, part))
+                size += len(part)
+    if held:
+        add()
+    return total, n
+
+
+def predict_texts(texts: list[str | None], labels: list[str], logp: np.ndarray, prior: np.ndarray) -> tuple[list[str], list[float]]:
+    names, scores = ["und"] * len(texts), [0.0] * len(texts)
+    own = [i for i, t in enumerate(texts) if t and labels and LETTER.search(t)]
+    if own:
+        likely, n = likelihoods([texts[i] for i in own], logp)
+        z = likely + prior
+        best = z.argmax(axis=1)
+        z = (z - z.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(n, 1))[:, None]
+        for i, k, x in zip(own, best.tolist(), (1 / np.exp(z).sum(axis=1)).tolist()):
+            names[i], scores[i] = labels[k], x
     return names, scores
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with all its columns, and the two new ones; should it have columns of their names, these are replaced."""
     docs = docs.select(*[c for c, name in zip(columns_of(docs), docs.columns) if name.lower() not in (lang.lower(), score.lower())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of MOST_LABELS floats at most
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, logp = shared.value
         for b in batches:
-            names, scores = predict_texts(b.column(at).to_pylist(), labels, logp)
+            names, scores = predict_texts(b.column(at).to_pylist(), *shared.value)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, lang, score])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())]))

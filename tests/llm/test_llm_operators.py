@@ -152,6 +152,36 @@ def test_language(docs, empty):
     assert {r["lang_pred"] for r in language.predict(docs, nothing).collect()} == {"und"} and language.predict(empty, model).count() == 0
 
 
+def test_language_posterior(spark, monkeypatch):
+    """Against counts of n-grams in plain Python, in large and small blocks."""
+    import numpy as np
+
+    data = [("a", "la casa es roja"), ("a", "el perro"), ("a", "los gatos y el rio"), ("b", "the red house"), ("b", "dogs, dogs!"), ("c", "das Haus")]
+    labels, logp, prior = language.learn(spark.createDataFrame(data, "lang string, text string"), "text", "lang")
+
+    def grams(t):
+        return Counter(int(x) for at in language.buckets(t) for x in at)
+
+    counts = {k: sum((grams(t) for x, t in data if x == k), Counter()) for k in "abc"}
+    n = {k: sum(c.values()) for k, c in counts.items()}
+    rows = {k: sum(x == k for x, _ in data) for k in "abc"}
+    texts = ["the house", "la roja", "x", "das rote Haus " * 40, "123", None, "", "el dogs Haus"]
+
+    def brute(t):
+        own = grams(t)
+        z = {k: math.log(rows[k] / len(data)) + sum(m * math.log((counts[k][g] + 0.5) / (n[k] + 0.5 * language.BUCKETS)) for g, m in own.items()) for k in "abc"}
+        best = max(sorted(z), key=z.get)
+        return best, 1 / sum(math.exp((x - z[best]) / math.sqrt(sum(own.values()))) for x in z.values())
+
+    assert labels == ["a", "b", "c"] and np.allclose(prior, [math.log(rows[k] / 6) for k in "abc"])
+    for cells in (1 << 21, 7):
+        monkeypatch.setattr(language, "CELLS", cells)
+        names, scores = language.predict_texts(texts, labels, logp, prior)
+        for t, name, score in zip(texts, names, scores):
+            want = brute(t) if any(c.isalpha() for c in t or "") else ("und", 0.0)
+            assert name == want[0] and score == pytest.approx(want[1], rel=1e-4)
+
+
 def test_language_chunks_change_nothing():
     import numpy as np
 
