@@ -27,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     model = language.learn(docs.filter(~language.held_out()), "text", "lang")
     if not model[0]:
-        model = ["any"], np.zeros((language.BUCKETS, 1), np.float32)
+        model = ["any"], np.zeros((language.BUCKETS, 1), np.float32), np.zeros(1)
     lang, score = free(docs, "__lang", "__score")
     return language.predict(docs, model, lang=lang, score=score).filter(F.col(lang) != "und").select(*columns_of(docs))
 
