@@ -78,6 +78,22 @@ def small(side: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(side) if side.count() <= most else side
 
 
+def most_frequent(counts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """``counts`` (column ``n``, positive) in two parts: ``most`` rows or fewer of the largest n, and the rest.
+
+    The cut is at a step of 1/16 of a doubling, so that only a histogram reaches the driver.
+    """
+    step = F.floor(F.log2("n") * 16).cast("int")
+    least, total = None, 0
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # 1024 rows at most
+        total += r["count"]
+        if total > most:
+            break
+        least = r["step"]
+    often = step >= least if least is not None else F.lit(False)
+    return counts.filter(often), counts.filter(~often)
+
+
 def text_of(name: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

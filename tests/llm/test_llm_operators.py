@@ -128,20 +128,30 @@ def test_fingerprint_collisions_are_told_apart(spark, monkeypatch, limit, share)
     assert fingerprints.collisions(rows.limit(0), "folded", "mark").count() == 0
 
 
-def test_token_counts(docs, empty):
+@pytest.mark.parametrize("frequent", [200_000, 3, 0])
+def test_token_counts(spark, docs, empty, monkeypatch, frequent):
     import public_tokenizers
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(token_counts, "FREQUENT", frequent)
+    monkeypatch.setattr(token_counts, "HELD", 20)
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    counter = token_counts.counter(path)
-    odd = ["", "a<|endoftext|>b", "  two  blanks\n\n", "it's 12,000 ", "՘x౜1!", "日本語 テキスト", "é́  z", "x" * 3000]
-    assert counter.count(odd) == [len(library.encode(t, add_special_tokens=False)) for t in odd]
-    got = token_counts.token_counts(docs, path).collect()
-    assert sorted((r["n_bytes"], r["n_tokens"]) for r in got) == sorted((len((d["text"] or "").encode()), len(library.encode(d["text"] or "", add_special_tokens=False))) for d in docs.collect())
+    odd = ["", "a<|endoftext|>b", "  two  blanks\n\n", "it's 12,000 ", "՘x౜1!", "日本語 テキスト", "é́  z", "x" * 3000, "x" * 3000 + "y", "ab " * 20_000 + "x" * 65, "\0" + "0" * 80]
+    mixed = docs.select("doc_id", "text", F.lit("q").alias("uid"), F.lit("q").alias("rare"), F.lit("q").alias("pieces"), F.lit(1).alias("n")).union(spark.createDataFrame([(1, t, "", "", "", 1) for t in odd], "doc_id long, text string, uid string, rare string, pieces string, n int"))
+    want = sorted((len((d["text"] or "").encode()), len(library.encode(d["text"] or "", add_special_tokens=False))) for d in mixed.collect())
+    got = token_counts.token_counts(mixed, path).collect()
+    assert sorted((r["n_bytes"], r["n_tokens"]) for r in got) == want and all(r["over_limit"] == (r["n_tokens"] > 1024) for r in got)
     assert token_counts.token_counts(empty, path).count() == 0
 
 
+def test_pieces_are_counted_once_a_distinct_pre_token(spark, docs):
+    import public_tokenizers
+
+    rows = token_counts.piece_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert len({r["key"] for r in rows}) == len(rows) and {r["key"]: r["n"] for r in rows}[" the"] == 30 - 1 + 30 + 3000 - 1
+
+
 def test_language(docs, empty):
     model = language.learn(docs, "text", "lang")
     got = language.predict(docs, model).collect()
