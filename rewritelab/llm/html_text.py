@@ -7,15 +7,15 @@ importance is one minus the entropy with which its texts repeat, both to base m,
 node; both are joined as (1 - g**l) * presentation + g**l * content, with g = 0.9 and l child styles.  What looks the
 same and says the same on every page scores 0.  Branches under LOW, met on LEAST_PAGES different pages or more, are
 noise (pages of a host whose texts are equal count once: copies of a page don't show what its site repeats); they are
-removed from each page, together with elements that name themselves as noise (navigation, footers, adverts,
-forms, comments and the like).  Branches whose texts differ are no noise, however alike they look (content LOW or
+removed from each page, together with elements that are noise by their tag, role or name (navigation, footers, adverts,
+forms, comments and the like; "comment-list" names noise, "has-sidebar" and "ad-hoc" don't).  Branches whose texts differ are no noise, however alike they look (content LOW or
 more).  The article element, or else main, if there is one, is the page's content; inside it the same rule holds for
 its branches, met in LEAST_ARTICLES different articles or more, so that an article that many pages share stays whole.
 
 Scale: the tree is never in one place.  Each page gives a row for each style path it has (hashes only); rows of
 equal pages meet by (host, path, page text), counts by (host, path, text) and (host, path, children) combine map-side,
-then by (host, path), so a host with a third of all pages is no hot spot.  Only noise paths are kept.  They go to every task while they are few (their bytes are
-counted), else pages join them by host and path.
+then by (host, path), so a host with a third of all pages is no hot spot.  Only noise paths are kept.  They go to every
+task while they are few (their bytes are counted), else each page's own paths meet them by host and path.
 
 Defined results: null html is empty; pages without text give '' and 0; broken or cut-off markup ends at the text's end;
 a null or odd url is a host by itself (''); repeated rows are separate pages; extra columns are ignored; an empty table
@@ -55,6 +55,13 @@ NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs header footer masthead sidebar rail aside widget "
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments reply replies respond disqus pagination pager toolbar copyright".split()
 )
+#: Words beside which a noise word still names noise ("ad-slot", "comment-list"), as digits and single letters do.
+PLAIN_WORDS = frozenset(
+    "area bar block body bottom box btn button buttons card cards col column container content feed field fields foot group head holder icon icons inner input item items left link links list main outer panel "
+    "right row section slot strip text thread title top unit wrap wrapper zone".split()
+)
+#: First words of names that tell what a wrapper has or lacks, not what it is.
+STATE_WORDS = frozenset("has have no not with without hide hidden show toggle open close js".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table td th html body article section div".split())
 
@@ -75,20 +82,32 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
+def word_names_noise(name: str) -> bool:
+    """Whether a name of a class or id is one of noise: by its last word, or by its first if the others say nothing else."""
+    w = [x.lower() for x in _WORD.findall(name)]
+    if not w or w[0] in STATE_WORDS:
+        return False
+    plain = lambda x: x in NOISE_WORDS or x in PLAIN_WORDS or x.isdigit() or len(x) == 1
+    return w[-1] in NOISE_WORDS or w[0] in NOISE_WORDS and all(map(plain, w[1:]))
+
+
+def is_noise(tag: str, attributes: dict[str, str]) -> bool:
+    """Noise by its element, its role, or for being hidden."""
+    return tag in NOISE_TAGS or attributes.get("role", "").lower() in NOISE_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true"
+
+
 def names_noise(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in NOISE_TAGS or attributes.get("role", "").lower() in NOISE_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
     if tag in ("html", "body", "main"):
         return False
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return named != " " and any(w.lower() in NOISE_WORDS for w in _WORD.findall(named))
+    return any(map(word_names_noise, f"{attributes.get('class', '')} {attributes.get('id', '')}".split()))
 
 
 class Node:
-    __slots__ = ("noise", "parts", "path", "tag")
+    __slots__ = ("named", "noise", "parts", "path", "tag")
 
-    def __init__(self, tag: str, path: int, noise: bool):
-        self.tag, self.path, self.noise = tag, path, noise  # path: hash of all styles from the body down, of one size at any depth
+    def __init__(self, tag: str, path: int, noise: bool, named: bool = False):
+        # path: hash of all styles from the body down, of one size at any depth; named: noise by its name alone
+        self.tag, self.path, self.noise, self.named = tag, path, noise or named, named and not noise
         self.parts: list = []  # strings and nodes, in page order
 
 
@@ -133,7 +152,7 @@ def parse(page: str) -> Node:
         style = ".".join([tag, *sorted(attributes.get("class", "").split())]) + (f"#{attributes['id']}" if attributes.get("id") else "")
         up = stack[-1]
         path = signed(hash_of(f"{up.path}/{style}"))
-        node = Node(tag, path, names_noise(tag, attributes))
+        node = Node(tag, path, is_noise(tag, attributes), names_noise(tag, attributes))
         up.parts.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
@@ -178,19 +197,27 @@ def walk_blocks(node: Node, removed: frozenset | set, inside: bool, out: list[li
         work.extend((p, False) for p in reversed(x.parts))
 
 
-def main_parts(root: Node) -> list[Node]:
-    """Outermost article elements that no noise encloses, else main elements, else none."""
+def main_parts(root: Node, trust_names: bool = True) -> list[Node]:
+    """Outermost article elements that no noise encloses, else main elements, else none.
+
+    Where elements with names of noise enclose all text, those are wrappers, and what they enclose counts.
+    """
     found: dict[str, list[Node]] = {"article": [], "main": []}
-    work = [(root, frozenset())]
+    work: list = [(root, frozenset())]
+    said = False
     while work:
         x, within = work.pop()
-        if isinstance(x, str) or x.noise:
+        if isinstance(x, str):
+            said = said or not x.isspace()
+            continue
+        if x.noise and (trust_names or not x.named):
             continue
-        if x.tag in found and x.tag not in within:
+        if x.tag in found and x.tag not in within and not x.noise:
             found[x.tag].append(x)
             within = within | {x.tag}
         work.extend((p, within) for p in reversed(x.parts))
-    return found["article"] or found["main"]
+    own = found["article"] or found["main"]
+    return own if own or said or not trust_names else main_parts(root, False)
 
 
 def text_of_parts(root: Node, own: list[Node], removed: frozenset | set = frozenset()) -> str:
@@ -277,19 +304,28 @@ def noise_paths(tree: DataFrame) -> DataFrame:
     return tree.filter((F.col("pages") >= F.when(F.col("inside"), LEAST_ARTICLES).otherwise(LEAST_PAGES)) & (F.col("importance") < LOW) & (F.col("content") < LOW)).select("host", "path")
 
 
+def page_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, host, path) of every style path of every page (key, host, html)."""
+    for b in batches:
+        for key, h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            paths = [x[0] for x in styles(page.as_py() or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(paths), pa.int64()), pa.array([h] * len(paths), pa.string()), pa.array(paths, pa.int64())], names=["key", "host", "path"])
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars."""
     noise = cut(noise_paths(style_tree(pages, url_col, html_col)))
     size = noise.agg(F.sum(F.octet_length("host") + 72).alias("n")).first()["n"] or 0
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url_col).alias("url"), host(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
-    by_host = noise.groupBy("host").agg(F.collect_set("path").alias("paths"))
-
     if size <= MOST_BROADCAST:
+        by_host = noise.groupBy("host").agg(F.collect_set("path").alias("paths"))
         removed = {r["host"]: frozenset(r["paths"]) for r in by_host.toLocalIterator()}
         shared = pages.sparkSession.sparkContext.broadcast(removed)
         rows, look = own.withColumn("paths", F.lit(None).cast("array<bigint>")), lambda h, _: shared.value.get(h, frozenset())
-    else:
-        rows, look = own.join(by_host, "host", "left").select("page_id", "url", "host", "html", "paths"), lambda _, paths: frozenset(paths or ())
+    else:  # each page meets the noise among its own paths; pages of one key say the same
+        keyed = own.withColumn("key", F.xxhash64("host", "html"))
+        mine = keyed.select("key", "host", "html").mapInArrow(page_paths, "key long, host string, path long").distinct().join(noise, ["host", "path"]).groupBy("key").agg(F.collect_set("path").alias("paths"))
+        rows, look = keyed.join(mine, "key", "left").select("page_id", "url", "host", "html", "paths"), lambda _, paths: frozenset(paths or ())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -47,3 +47,38 @@ def test_branches_that_look_alike_but_differ_stay(spark):
     kinds = "".join(f"<div class=k{k}>{{0}} {k}</div>" for k in range(30))
     pages = [("http://a.example.com/", f"<article><section>{kinds.format(i)}</section></article>") for i in range(6)]
     assert texts(spark, pages) == ["\n\n".join(f"{i} {k}" for k in range(30)) for i in range(6)]
+
+
+@pytest.mark.parametrize("wrapper", ["page has-sidebar", "wrapper no-comments", "layout-sidebar-right", "notice-content", "sidebar"])
+def test_wrappers_are_not_noise(spark, wrapper):
+    page = f"<div class='{wrapper}'><article><p class=ad-hoc>ad hoc words</p><p>text</p><div class='comment-list'>no</div><div id=ad-slot-3>no</div></article></div><div class=footer-links>no</div>"
+    assert texts(spark, [("http://a.example.com/", page)]) == ["ad hoc words\n\ntext"]
+
+
+def test_teasers_are_no_articles_of_the_page(spark):
+    page = "<div>own words</div><div class=related><article>teaser</article></div>"
+    assert texts(spark, [("http://a.example.com/", page)]) == ["own words"]
+
+
+def test_names():
+    noise = "comments comment-list site-header cookieBanner ad ad-1 top_ad nav-links disqus_thread share-buttons related sidebar-left newsletter-signup"
+    plain = "ad-hoc adhoc has-sidebar no-comments content article-body menu-planning loading shadow head commentary with-nav"
+    assert all(map(html_text.word_names_noise, noise.split())) and not any(map(html_text.word_names_noise, plain.split()))
+
+
+def test_templates_under_neutral_names(spark, monkeypatch):
+    """Precision and recall of words, on hosts whose templates no name gives away; both ways of looking up noise."""
+    import random
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(5))
+    pages, want = [], []
+    for h in range(3):
+        top, end, box = ([word() for _ in range(12)] for _ in range(3))
+        for i in range(15):
+            own = [" ".join(word() for _ in range(20)) for _ in range(4)]
+            pages.append((f"http://h{h}.example.com/{i}", f"<div class=x1>{' '.join(top)}</div><article><p>{own[0]}</p><p>{own[1]}</p><div class=x2><p>{' '.join(box)}</p></div><p>{own[2]}</p></article><div class=x3>{' '.join(end)}</div>"))
+            want.append("\n\n".join(own[:3]))
+    assert texts(spark, pages) == want
+    monkeypatch.setattr(html_text, "MOST_BROADCAST", -1)
+    assert texts(spark, pages) == want
