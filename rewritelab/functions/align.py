@@ -6,9 +6,10 @@ import re
 from collections import Counter
 from difflib import SequenceMatcher
 
+from . import fixed
 from . import segment as seg
 
-FACT = re.compile(r"[\w.+-]+@[\w-]+\.[\w.-]+|https?://\S+|www\.\S+|\d+(?:[.,:/-]\d+)*%?|\b[A-Z][A-Z0-9]{1,}\b")
+FACT = re.compile(fixed.FACT)
 _NUMBER = re.compile(r"\d+(?:[.,:/-]\d+)*%?")
 
 

@@ -56,6 +56,7 @@ SEPARATOR = "\n\n### Rewritten:\n\n"
 STOP_STRINGS = ("\n### Rewritten:", "\n\n\n\n")
 
 #: Reward weights.
+JUDGE_FAILED = -1.0
 HARD_FAIL, COPY_SKIP, REUSE_FREE, COPY_POWER = -8.0, 0.85, 0.31, 1.61
 W_CRITICAL, W_MINOR, W_INVENTED, W_REVERSED, W_REGISTER, W_FORMAT, W_GREETING = 3.0, 0.15, 2.0, 2.0, 1.0, 1.5, 1.5
 STYLE_ALIASES = {"daily_email": "email_short", "daily_paper": "paper_bio", "academic_en": "paper_clean", "daily_report": "report_crs", "daily_essay": "essay_student", "daily_reddit": "reddit_post", "daily_linkedin": "blog_personal"}

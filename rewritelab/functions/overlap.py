@@ -18,6 +18,11 @@ def grams(t: Column, cjk: Column) -> Column:
     return F.when(cjk, F.concat(own, runs)).otherwise(own)
 
 
+def gram_hashes(t: Column, cjk: Column) -> Column:
+    """64-bit hashes of ``grams``, as many."""
+    return F.transform(grams(t, cjk), lambda g: F.xxhash64(g))
+
+
 def share_found(of: Column, among: Column) -> Column:
     """Share of the items of ``of``, repeats counted, that occur in ``among``; 0 without items."""
     share = lambda x, known: F.when(F.size(x) > 0, F.size(F.filter(x, lambda g: F.array_contains(known, g))) / F.size(x)).otherwise(0.0)

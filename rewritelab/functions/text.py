@@ -48,8 +48,7 @@ def windows(items: Column, n: int) -> Column:
 
 def content_tokens(t: Column) -> Column:
     """Words that are no stop words, then bigrams of all CJK characters in order."""
-    stop = F.array(*[F.lit(w) for w in fixed.STOP_WORDS])
-    own = F.filter(words(t), lambda w: ~F.array_contains(stop, w))
+    own = F.filter(words(t), lambda w: ~w.isin(*fixed.STOP_WORDS))
     han = F.regexp_extract_all(_text(t), F.lit(f"({fixed.CJK})"), F.lit(1))
     return F.concat(own, F.transform(windows(han, 2), lambda p: F.array_join(p, "")))
 
@@ -70,9 +69,8 @@ def long_enough(t: Column) -> Column:
 
 def skeleton(t: Column) -> Column:
     """Function words, punctuation and places of words (W) and numbers (N); null for CJK."""
-    stop = F.array(*[F.lit(w) for w in fixed.STOP_WORDS])
     found = F.regexp_extract_all(_text(t), F.lit(r"([A-Za-z']+|[0-9][0-9,.%$]*|[^\sA-Za-z0-9])"), F.lit(1))
-    kind = lambda w: F.when(w.rlike("^[A-Za-z']"), F.when(F.array_contains(stop, F.lower(w)), F.lower(w)).otherwise("W")).when(w.rlike("^[0-9]"), "N").otherwise(w)
+    kind = lambda w: F.when(w.rlike("^[A-Za-z']"), F.when(F.lower(w).isin(*fixed.STOP_WORDS), F.lower(w)).otherwise("W")).when(w.rlike("^[0-9]"), "N").otherwise(w)
     return F.when(~has_cjk(t), F.transform(found, kind))
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from .pairs import all_metrics as pair_metrics
 from .positions import with_position
+from .verdicts import bad, clean, default_verdict
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -65,6 +67,29 @@ def preference_pairs(chosen: DataFrame) -> DataFrame:
     return chosen.filter("chosen IS NOT NULL AND rejected IS NOT NULL").select("key", "chosen", "rejected")
 
 
+def build_preferences(cands: DataFrame, inputs: DataFrame, verdicts: DataFrame, tag: str, profile: DataFrame | None = None, tiers: bool = False, identity_bad: bool = False, structure: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Preference pairs with their texts and metrics, and the choice by key that ``funnel`` counts.
+
+    cands: key, src, cands (an array); inputs: key, draft; verdicts: key, i, verdict (a struct).  Candidates without a
+    verdict take no part; keys without an input
+    neither; a blank candidate needs no verdict to be bad; a key without candidates that take part has no clean one.
+    """
+    drafts = cands.select("key", "src", "cands").join(inputs.select("key", "draft"), "key")
+    rows = drafts.select("key", "src", "draft", F.posexplode("cands").alias("i", "text")).join(verdicts.select("key", "i", "verdict"), ["key", "i"], "left")
+    rows = rows.select("key", "src", "draft", "i", "text", default_verdict(F.col("text"), F.col("verdict"), verdicts.schema["verdict"].dataType.names).alias("verdict")).filter("verdict IS NOT NULL")
+    measured = pair_metrics(rows.select(F.struct("key", "i", "src", "text", "verdict").alias("pair_id"), "draft", F.col("text").alias("output")))
+    flat = measured.select("pair_id.key", "pair_id.i", "pair_id.src", "pair_id.text", "pair_id.verdict.*", *[c for c in measured.columns if c != "pair_id"])
+    flat = in_band(flat, profile) if profile is not None else flat.withColumn("in_band", F.lit(False))
+    judged = flat.withColumns({"clean": clean(tiers), "bad": bad(tiers, identity_bad)})
+    choice = drafts.select("key").distinct().join(choose(judged, structure), "key", "left")
+    own = judged.select("key", "i", "src", "text", "copy", "align_sim", "one_to_one", "coverage", "fact_recall", "format_recall", "evidence")
+    best = own.select("key", F.col("i").alias("chosen"), "src", F.col("text").alias("__chosen"), F.col("copy").alias("chosen_copy"), F.col("align_sim").alias("chosen_align"), F.col("one_to_one").alias("chosen_1to1"), F.col("coverage").alias("chosen_cov"), F.col("fact_recall").alias("chosen_facts"), F.col("format_recall").alias("chosen_fmt"))
+    worst = own.select("key", F.col("i").alias("rejected"), F.col("text").alias("__rejected"), F.left(F.coalesce("evidence", F.lit("")), F.lit(120)).alias("rejected_reason"))
+    pairs = preference_pairs(choice).join(best, ["key", "chosen"]).join(worst, ["key", "rejected"]).join(inputs.select("key", "draft"), "key")
+    numbers = ["chosen_copy", "chosen_align", "chosen_1to1", "chosen_cov", "chosen_facts", "chosen_fmt"]
+    return pairs.select(text.prompt(F.col("draft")).alias("prompt"), F.col("__chosen").alias("chosen"), F.col("__rejected").alias("rejected"), "key", "src", *numbers, "rejected_reason", F.lit(f"dpo:{tag}").alias("provider")), choice
+
+
 def funnel(chosen: DataFrame) -> DataFrame:
     """Counters; a key without clean rows is counted there only, and all_clean always equals no_bad."""
     c = F.col
@@ -77,9 +102,14 @@ def shard(df: DataFrame, order: list[str], k: int, m: int) -> DataFrame:
     return with_position(df, order, "__at").filter(F.col("__at") % m == k).drop("__at")
 
 
-def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """A reproducible order by a hash; not the permutation of any other library."""
-    return df.withColumn("shuffle_key", F.xxhash64(F.col(key), F.lit(seed)))
+def shuffled(df: DataFrame, key: str, seed: int, limit: int | None = None) -> DataFrame:
+    """``df`` with ``position`` in a reproducible order by the MD5 of seed and key, and only the first ``limit`` rows if given.
+
+    Not the permutation of any other library.
+    """
+    mark = F.conv(F.left(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.lit(15)), 16, 10).cast("long")
+    rows = with_position(df.withColumn("__mark", mark), ["__mark", key]).drop("__mark")
+    return rows if limit is None else rows.filter(F.col("position") < limit)
 
 
 def row_split(df: DataFrame, order: list[str]) -> DataFrame:
@@ -108,6 +138,15 @@ def leaks(split: DataFrame, group_text: str) -> DataFrame:
     return side("eval").intersect(side("train"))
 
 
+def check_split(split: DataFrame, group_text: str, least: int = 40) -> DataFrame:
+    """Raise if a text is on both sides, or evaluation has under ``least`` rows."""
+    if not leaks(split, group_text).isEmpty():
+        raise ValueError("texts on both sides of the split")
+    if (n := split.filter("side = 'eval'").count()) < least:
+        raise ValueError(f"{n} rows for evaluation, fewer than {least}")
+    return split
+
+
 def check_filled(df: DataFrame, cols: list[str]) -> DataFrame:
     """Raise if a column is null or empty in any row."""
     lacking = F.lit(False)
@@ -129,4 +168,4 @@ def drop_over_length(df: DataFrame, cols: list[str], most: int) -> DataFrame:
 
 
 def step_log(log: DataFrame) -> DataFrame:
-    return log.groupBy("step").agg(F.avg("reward").alias("mean_reward"), F.min("reward").alias("min_reward"), F.max("reward").alias("max_reward"), F.count_if(F.col("hard").isNotNull()).alias("hard_fails"), F.count_if(F.col("reward").isNull()).alias("judge_fails"), F.sum("critical").alias("critical"), F.sum("minor").alias("minor"))
+    return log.groupBy("step").agg(F.avg("reward").alias("mean_reward"), F.min("reward").alias("min_reward"), F.max("reward").alias("max_reward"), F.count_if(F.col("hard").isNotNull()).alias("hard_fails"), F.count_if(F.col("judge_failed") if "judge_failed" in log.columns else F.col("reward").isNull()).alias("judge_fails"), F.sum("critical").alias("critical"), F.sum("minor").alias("minor"))

@@ -44,10 +44,12 @@ def cheap_metrics(pairs: DataFrame) -> DataFrame:
 
 
 def overlap_by_grams(pairs: DataFrame) -> DataFrame:
-    """pair_id, copy_5gram, draft_coverage for texts of any length: one shuffle of gram counts that combine map-side."""
+    """pair_id, copy_5gram, draft_coverage for texts of any length: one shuffle, of two numbers a gram, by pair; grams meet by 64-bit hash."""
     cjk = text.has_cjk(F.col("draft")) | text.has_cjk(F.col("output"))
-    side = lambda col, mine, other: pairs.select("pair_id", F.explode(overlap.grams(F.col(col), cjk)).alias("gram")).select("pair_id", F.xxhash64("gram").alias("h"), "gram", F.lit(1).alias(mine), F.lit(0).alias(other))
-    counts = side("draft", "in_draft", "in_output").unionByName(side("output", "in_output", "in_draft")).groupBy("pair_id", "gram").agg(F.sum("in_draft").alias("d"), F.sum("in_output").alias("o"))
+    found = pairs.select("pair_id", overlap.gram_hashes(F.col("draft"), cjk).alias("a"), overlap.gram_hashes(F.col("output"), cjk).alias("b"))
+    one = lambda d, o: lambda h: F.struct(h.alias("h"), F.lit(d).alias("d"), F.lit(o).alias("o"))
+    rows = found.select("pair_id", F.inline(F.concat(F.transform("a", one(1, 0)), F.transform("b", one(0, 1))))).repartition("pair_id")
+    counts = rows.groupBy("pair_id", "h").agg(F.sum("d").alias("d"), F.sum("o").alias("o"))
     sums = counts.groupBy("pair_id").agg(F.sum("d").alias("d"), F.sum("o").alias("o"), F.sum(F.when(F.col("d") > 0, F.col("o"))).alias("oh"), F.sum(F.when(F.col("o") > 0, F.col("d"))).alias("dh"))
     share = lambda hit, of: F.when(F.col(of) > 0, F.coalesce(hit, F.lit(0)) / F.col(of)).otherwise(0.0)
     return pairs.select("pair_id").join(sums, "pair_id", "left").select("pair_id", share(F.col("oh"), "o").alias("copy_5gram"), share(F.col("dh"), "d").alias("draft_coverage"))
@@ -66,7 +68,8 @@ def all_metrics(pairs: DataFrame, body_only: bool = True) -> DataFrame:
 
 def copy_rate(metrics: DataFrame) -> DataFrame:
     """The eight-field summary; its copy_5gram is the composite."""
-    return metrics.select("pair_id", F.col("copy").alias("copy_5gram"), F.col("copy_5gram").alias("copy_5gram_raw"), (1 - F.col("copy")).alias("novel_ratio"), "draft_coverage", "verbatim_sent", "lcs_content", "align_sim", "reuse")
+    novel = F.round(1 - F.col("copy"), 3).alias("novel_ratio")
+    return metrics.select("pair_id", F.col("copy").alias("copy_5gram"), F.col("copy_5gram").alias("copy_5gram_raw"), "verbatim_sent", novel, F.col("n_out").alias("n_sent_out"), "align_sim", "order_agree", "one_to_one")
 
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

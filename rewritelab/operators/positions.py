@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 512
 
 
+def range_of(key: Column, bounds: list) -> Column:
+    """Number of ``bounds``, ascending, that are not above ``key``: a binary search over a literal array."""
+    steps, step = [], 1
+    while step <= len(bounds):
+        steps.insert(0, step)
+        step *= 2
+    if not steps:
+        return F.lit(0)
+    cuts = F.array(*[F.lit(b) for b in bounds])
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda low, s: F.when((low + s <= F.lit(len(bounds))) & (F.get(cuts, low + s - 1) <= key), low + s).otherwise(low))
+
+
 def with_position(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
     """0-based position by ``order`` (its first column a number without nulls).
 
@@ -16,8 +28,7 @@ def with_position(df: DataFrame, order: list[str], name: str = "position") -> Da
     first = order[0]
     got = df.agg(F.percentile_approx(first, [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
     cuts = sorted(set(got))
-    literal = F.array(*[F.lit(x) for x in cuts]) if cuts else F.array().cast("array<double>")
-    ranged = df.withColumn("__range", F.size(F.filter(literal, lambda x: x <= F.col(first))))
+    ranged = df.withColumn("__range", range_of(F.col(first), cuts))
     counts = {r["__range"]: r["count"] for r in ranged.groupBy("__range").count().collect()}  # RANGES rows at most
     starts, total = [], 0
     for i in range(len(cuts) + 1):

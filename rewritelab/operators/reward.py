@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from .verdicts import is_false, truthy
+from .positions import with_position
+from .verdicts import FACT_KEPT, is_false, truthy, wrong
 
 
 def copy_penalty(reuse: Column, weight: float = 8.0) -> Column:
@@ -17,7 +18,7 @@ def copy_penalty(reuse: Column, weight: float = 8.0) -> Column:
 def hard_check(draft: Column, output: Column, degenerate: Column, copy: Column) -> Column:
     """Reason of a hard failure, first match; null where there is none."""
     return (
-        F.when(F.trim(F.coalesce(output, F.lit(""))) == "", "empty")
+        F.when(F.coalesce(output, F.lit("")).rlike(r"(?U)^\s*$"), "empty")
         .when(truthy(degenerate), "degenerate")
         .when(copy > fixed.COPY_SKIP, F.format_string("copy %.2f", copy))
         .when(text.is_cjk(draft) != text.is_cjk(output), "language_switch")
@@ -39,6 +40,29 @@ def fact_sums(facts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def folded(merged: DataFrame) -> DataFrame:
+    """``merged`` (column ``verdict``, see verdicts.merge_facts) with the columns of ``score`` that come from it; ``judged``: there is one."""
+    v = F.col("verdict")
+    grade = lambda f: F.when(F.lower(F.coalesce(f["severity"], F.lit("critical"))) == "critical", True).otherwise(False)
+    count = lambda test: F.coalesce(F.size(F.filter(v["facts"], test)), F.lit(0)).cast("long")
+    return merged.withColumns(
+        {
+            "changed": count(lambda f: F.lower(f["status"]) == "changed"),
+            "dropped": count(lambda f: F.lower(f["status"]) == "dropped"),
+            "critical": count(lambda f: wrong(f["status"]) & grade(f)),
+            "minor": count(lambda f: wrong(f["status"]) & ~grade(f)),
+            "n_invented": F.coalesce(F.size(v["invented"]), F.lit(0)).cast("long"),
+            **{k: v[k] for k in ("reversed_meaning", *FACT_KEPT)},
+            "judged": v.isNotNull(),
+        }
+    )
+
+
+def online(rows: DataFrame) -> DataFrame:
+    """Rewards as training sees them: where the judge failed, ``JUDGE_FAILED`` instead of none, and ``judge_failed`` says so."""
+    return rows.withColumn("judge_failed", F.col("reward").isNull()).withColumn("reward", F.coalesce("reward", F.lit(fixed.JUDGE_FAILED)))
+
+
 def span_penalties(facts: DataFrame, invented: DataFrame, keys: list[str]) -> DataFrame:
     """keys, span, penalty: spans of wrong facts and inventions, stripped, non-empty, added up."""
     wrong = facts.filter(F.lower("status").isin("changed", "dropped")).select(*keys, "span", fact_weight().alias("w"))
@@ -77,8 +101,9 @@ def group_advantage(rows: DataFrame) -> DataFrame:
 
 
 def nll_floor(warm_up: DataFrame, nll: str = "nll") -> DataFrame:
-    """The element at n div 2 of the sorted warm-up: the upper median.  The warm-up is a bounded set by definition."""
-    return warm_up.agg(F.array_sort(F.collect_list(nll)).alias("a")).select(F.get("a", F.floor(F.size("a") / 2).cast("int")).alias("floor"))
+    """The element at n div 2 of the sorted warm-up: the upper median, found by position; no task holds them all."""
+    rows = warm_up.filter(F.col(nll).isNotNull()).select(F.col(nll).alias("floor"))
+    return with_position(rows, ["floor"]).filter(F.col("position") == rows.count() // 2).select("floor")
 
 
 def floor_penalty(rows: DataFrame, floor: DataFrame, weight: float = 1.0) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 KEPT = ("facts_all_kept", "greeting_signoff_kept", "format_kept")
 BAD = ("meaning_changed", "added_content", "identity")
+#: Flags of a vote on facts that say what was kept.
+FACT_KEPT = ("register_kept", "format_kept", "greeting_signoff_kept")
 REQUIRED = (*KEPT, *BAD, "reads_like_person")
 
 
@@ -23,7 +25,10 @@ def _rank(severity: Column) -> Column:
 
 
 def merge_reviews(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Two votes a row (column ``verdict``, null where the judge failed) to one: the milder severity, and a fault only if both see it."""
+    """Two votes a row (column ``verdict``, null where the judge failed) to one: the milder severity, and a fault only if both see it.
+
+    What is not merged is the first vote's, nulls included; ``raw`` keeps both votes.
+    """
     met = a.select(*keys, F.col("verdict").alias("x")).join(b.select(*keys, F.col("verdict").alias("y")), keys, "full")
     x, y = F.col("x"), F.col("y")
     both, one = x.isNotNull() & y.isNotNull(), F.coalesce(x, y)
@@ -36,21 +41,45 @@ def merge_reviews(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
         *[F.when(both, ~(is_false(x[k]) & is_false(y[k]))).otherwise(one[k]).alias(k) for k in KEPT],
         *[F.when(both, truthy(x[k]) & truthy(y[k])).otherwise(one[k]).alias(k) for k in BAD],
         F.when(both, F.coalesce(said(x), said(y), F.lit("none"))).otherwise(one["evidence"]).alias("evidence"),
-        F.coalesce(x["reads_like_person"], y["reads_like_person"]).alias("reads_like_person"),
-        F.coalesce(x["padding"], y["padding"]).alias("padding"),
+        one["reads_like_person"].alias("reads_like_person"),
+        one["padding"].alias("padding"),
         votes.alias("votes"),
+        F.when(both, F.array(x, y)).alias("raw"),
     )
 
 
+def wrong(status: Column) -> Column:
+    return truthy(F.lower(status).isin("changed", "dropped"))
+
+
 def merge_facts(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Fact rows (keys, id, status, severity) of two votes: wrong only if both say so, minor if either does."""
-    wrong = lambda c: F.lower(c).isin("changed", "dropped")
-    second = b.filter(wrong(F.col("status"))).select(*keys, "id", F.lower(F.coalesce("severity", F.lit("critical"))).alias("__other"), F.lit(True).alias("__wrong"))
-    first = F.lower(F.coalesce("severity", F.lit("critical")))
-    stays = wrong(F.col("status")) & truthy(F.col("__wrong"))
-    met = a.join(second, [*keys, "id"], "left")
-    kind = F.when((first == "minor") | (F.col("__other") == "minor"), "minor").otherwise("critical")
-    return met.select(*keys, "id", F.when(stays, F.col("status")).otherwise("kept").alias("status"), F.when(stays, kind).otherwise(F.col("severity")).alias("severity"))
+    """Two votes on facts (column ``verdict``: facts, invented, flags; null where the judge failed) to one.
+
+    A fact is wrong only if both votes say so, and minor if either does; inventions and faults need both votes.
+    Without a second vote the first stays as it is; without a first there is none.
+    """
+    met = a.select(*keys, F.col("verdict").alias("x")).join(b.select(*keys, F.col("verdict").alias("y")), keys, "left")
+    x, y = F.col("x"), F.col("y")
+    grade = lambda f: F.lower(F.coalesce(f["severity"], F.lit("critical")))
+    names = [f.name for f in a.schema["verdict"].dataType["facts"].dataType.elementType.fields]
+
+    def fact(f: Column) -> Column:
+        other = F.try_element_at(F.filter(y["facts"], lambda g: g["id"].eqNullSafe(f["id"]) & wrong(g["status"])), F.lit(-1))
+        stays = wrong(f["status"]) & other.isNotNull()
+        kind = F.when((grade(f) == "minor") | (grade(other) == "minor"), "minor").otherwise("critical")
+        own = {"status": F.when(stays, f["status"]).otherwise("kept"), "severity": F.when(stays, kind).otherwise(f["severity"])}
+        return F.struct(*[own.get(n, f[n]).alias(n) for n in names])
+
+    some = lambda v: F.coalesce(F.size(v["invented"]), F.lit(0)) > 0
+    none = F.filter(x["invented"], lambda _: F.lit(False))
+    both = F.struct(
+        F.transform(x["facts"], fact).alias("facts"),
+        F.when(some(x) & some(y), x["invented"]).otherwise(none).alias("invented"),
+        (truthy(x["reversed_meaning"]) & truthy(y["reversed_meaning"])).alias("reversed_meaning"),
+        *[(~(is_false(x[k]) & is_false(y[k]))).alias(k) for k in FACT_KEPT],
+    )
+    plain = F.struct(*[x[k].alias(k) for k in ("facts", "invented", "reversed_meaning", *FACT_KEPT)])
+    return met.select(*keys, F.when(x.isNotNull(), F.when(y.isNull(), plain).otherwise(both)).alias("verdict"))
 
 
 def clean(tiers: bool = False) -> Column:
@@ -78,12 +107,12 @@ def bad(tiers: bool = False, identity_bad: bool = True) -> Column:
 
 
 #: What an empty candidate gets without asking a judge.
-EMPTY_VERDICT = {"facts_all_kept": False, "meaning_changed": True, "added_content": False, "padding": False, "greeting_signoff_kept": False, "format_kept": False, "identity": False, "reads_like_person": 1, "severity": "critical", "evidence": "empty output"}
+EMPTY_VERDICT = {"facts_all_kept": False, "meaning_changed": True, "added_content": False, "padding": False, "greeting_signoff_kept": False, "format_kept": False, "identity": False, "reads_like_person": 1, "severity": "critical", "evidence": "empty"}
 
 
 def default_verdict(candidate: Column, verdict: Column, fields: list[str]) -> Column:
     fixed = F.struct(*[F.lit(EMPTY_VERDICT[f]).alias(f) for f in fields])
-    return F.when(F.trim(F.coalesce(candidate, F.lit(""))) == "", fixed).otherwise(verdict)
+    return F.when(F.coalesce(candidate, F.lit("")).rlike(r"(?U)^\s*$"), fixed).otherwise(verdict)
 
 
 def report(merged: DataFrame) -> DataFrame:

@@ -74,15 +74,42 @@ def text_flags(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", text.has_cjk(F.col("text")).alias("has_cjk"), text.is_cjk(F.col("text")).alias("is_cjk"))
 
 
+_SKEL = f"""list_transform(regexp_extract_all({{t}}, '[A-Za-z'']+|[0-9][0-9,.%$]*|[^\\sA-Za-z0-9]'),
+ lambda w: CASE WHEN regexp_matches(w, '^[A-Za-z'']') THEN CASE WHEN lower(w) IN ({_STOP}) THEN lower(w) ELSE 'W' END WHEN regexp_matches(w, '^[0-9]') THEN 'N' ELSE w END)"""
+
+
+_MIXED_SQL = "(SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat(left(text, 60), '今天下午三点 we meet，第2次') WHEN 1 THEN concat('会议', chr(10), left(text, 20)) ELSE text END AS text FROM documents)"
+_CJK_UNITS = f"CASE WHEN regexp_matches(text, '{_HAN}') THEN regexp_extract_all(lower(text), '[\\pL\\pN]') ELSE {_words()} END"
+
+
+def _mixed(spark, sf) -> DataFrame:
+    """Documents, some of which get Chinese words."""
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.left("text", F.lit(60)), F.lit("今天下午三点 we meet，第2次"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("会议\n"), F.left("text", F.lit(20)))).otherwise(F.col("text"))
+    return _table(spark, sf, "documents").select("doc_id", t.alias("text"))
+
+
+@query(f"""SELECT doc_id, regexp_matches(text, '{_HAN}') AS has_cjk, len(regexp_extract_all(left(text, 400), '{_HAN}')) > len(regexp_extract_all(left(text, 400), '[A-Za-z]{{{{2,}}}}')) AS is_cjk,
+ md5(array_to_string({_CJK_UNITS}, '|')) AS units, len({_CJK_UNITS}) >= CASE WHEN regexp_matches(text, '{_HAN}') THEN 8 ELSE 5 END AS long_enough,
+ CASE WHEN NOT regexp_matches(text, '{_HAN}') THEN md5(array_to_string({_of(_SKEL, 'text')}, ' ')) END AS skeleton,
+ md5(array_to_string(list_concat(list_filter({_words()}, lambda w: w NOT IN ({_STOP})), list_transform(range(1, greatest(len(regexp_extract_all(text, '{_HAN}')), 1)), lambda i: regexp_extract_all(text, '{_HAN}')[i] || regexp_extract_all(text, '{_HAN}')[i + 1])), '|')) AS tokens FROM {_MIXED_SQL}""".replace("{{", "{").replace("}}", "}"))
+def mixed_scripts(spark, sf):
+    t = F.col("text")
+    return _mixed(spark, sf).select(
+        "doc_id",
+        text.has_cjk(t).alias("has_cjk"),
+        text.is_cjk(t).alias("is_cjk"),
+        _digest(text.units(t)).alias("units"),
+        text.long_enough(t).alias("long_enough"),
+        F.md5(F.array_join(text.skeleton(t), " ")).alias("skeleton"),
+        _digest(text.content_tokens(t)).alias("tokens"),
+    )
+
+
 @query(r"""SELECT page_id, md5(regexp_replace(regexp_replace(html, '(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|table|blockquote)\b[^>]*>', chr(10), 'g'), '<[^<>]{1,60}>', ' ', 'g')) AS digest FROM pages""")
 def strip_markup(spark, sf):
     return _table(spark, sf, "pages").select("page_id", F.md5(text.strip_markup(F.col("html"))).alias("digest"))
 
 
-_SKEL = f"""list_transform(regexp_extract_all({{t}}, '[A-Za-z'']+|[0-9][0-9,.%$]*|[^\\sA-Za-z0-9]'),
- lambda w: CASE WHEN regexp_matches(w, '^[A-Za-z'']') THEN CASE WHEN lower(w) IN ({_STOP}) THEN lower(w) ELSE 'W' END WHEN regexp_matches(w, '^[0-9]') THEN 'N' ELSE w END)"""
-
-
 @query(f"SELECT doc_id, CASE WHEN NOT regexp_matches(text, '{_HAN}') THEN md5(array_to_string({_of(_SKEL, 'text')}, ' ')) END AS digest FROM documents")
 def skeleton(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", F.md5(F.array_join(text.skeleton(F.col("text")), " ")).alias("digest"))
@@ -252,11 +279,11 @@ def _vote(shift: int) -> dict[str, str]:
         "facts_all_kept": f"CASE WHEN {x} % 29 = 0 THEN NULL ELSE quality = 1 OR {x} % 3 = 0 END",
         "meaning_changed": f"toxic = 1 AND {x} % 3 <> 1",
         "added_content": f"{x} % 5 = 0",
-        "padding": f"{x} % 17 = 0",
+        "padding": f"CASE WHEN {x} % 23 = 0 THEN NULL ELSE {x} % 17 = 0 END",
         "greeting_signoff_kept": f"{x} % 7 <> 0",
         "format_kept": f"CASE WHEN {x} % 11 = 0 THEN NULL ELSE {x} % 4 <> 0 END",
         "identity": f"{x} % 13 = 0",
-        "reads_like_person": f"CAST(3 + {x} % 3 AS INT)",
+        "reads_like_person": f"CASE WHEN {x} % 37 = 0 THEN NULL ELSE CAST(3 + {x} % 3 AS INT) END",
         "severity": f"CASE WHEN quality = 0 AND {x} % 3 = 0 THEN 'critical' WHEN {x} % 4 = 0 THEN 'minor' WHEN {x} % 31 = 0 THEN NULL ELSE 'none' END",
         "evidence": f"CASE WHEN {x} % 4 = 0 THEN 'none' ELSE concat('said ', CAST({x} AS VARCHAR(20))) END",
     }
@@ -293,9 +320,22 @@ _REVIEWS = (
 )
 
 
+_CANDIDATE = "CASE key % 7 WHEN 0 THEN '' WHEN 1 THEN concat(chr(10), '  ') WHEN 2 THEN NULL ELSE 'text' END"
+_BLANK = f"trim(coalesce({_CANDIDATE}, ''), concat(' ', chr(10))) = ''"
+_BLANK_SQL = f"""c AS (SELECT *, {_BLANK} AS blank FROM a) SELECT key, CASE WHEN blank THEN 'empty' WHEN ok THEN evidence END AS evidence, CASE WHEN blank THEN 'critical' WHEN ok THEN severity END AS severity,
+ CASE WHEN blank THEN true WHEN ok THEN meaning_changed END AS meaning_changed, CASE WHEN blank THEN false WHEN ok THEN facts_all_kept END AS facts_all_kept, CASE WHEN blank THEN 1 WHEN ok THEN reads_like_person END AS reads_like_person FROM c"""
+
+
 @query(f"{_REVIEWS} SELECT * FROM merged")
 def two_vote_review(spark, sf):
-    return _reviews(spark, sf)
+    return _reviews(spark, sf).drop("raw")
+
+
+@query(f"WITH {_sql_votes(0, 'a')}, {_sql_votes(2, 'b')}, {_BLANK_SQL}")
+def empty_verdicts(spark, sf):
+    votes = _votes(spark, sf, 0).selectExpr("*", f"{_CANDIDATE} AS candidate")
+    v = verdicts.default_verdict(F.col("candidate"), F.col("verdict"), votes.schema["verdict"].dataType.names)
+    return votes.select("key", v.alias("v")).select("key", "v.evidence", "v.severity", "v.meaning_changed", "v.facts_all_kept", "v.reads_like_person")
 
 
 _METRIC = {"copy": "(key * 37 % 100) / 100.0E0", "lcs_content": "(key * 53 % 100) / 100.0E0", "fact_recall": "(key * 71 % 100) / 100.0E0", "degenerate": "key % 41 = 0", "in_band": "key % 3 = 0", "align_sim": "(key * 13 % 100) / 100.0E0", "one_to_one": "(key * 17 % 100) / 100.0E0", "coverage": "(key * 19 % 100) / 100.0E0", "format_recall": "(key * 23 % 100) / 100.0E0"}
@@ -337,55 +377,99 @@ def case_routing(spark, sf):
     return _table(spark, sf, "labels").select(c.alias("c")).agg(F.count_if(verdicts.is_chinese_case(F.col("c"))).alias("chinese"), F.count("*").alias("n"))
 
 
-def _fact_vote(shift: int) -> str:
+def _fact_vote(shift: int) -> dict[str, str]:
     x = f"(doc_id * 3 + id * 5 + {shift})"
-    return f"doc_id AS key, id, CASE {x} % 4 WHEN 0 THEN 'changed' WHEN 1 THEN 'Dropped' ELSE 'kept' END AS status, CASE {x} % 7 WHEN 0 THEN 'minor' WHEN 1 THEN NULL ELSE 'critical' END AS severity, CASE WHEN {x} % 5 < 2 THEN ' span one ' WHEN {x} % 5 = 2 THEN '' ELSE 'span two' END AS span"
+    return {
+        "status": f"CASE {x} % 4 WHEN 0 THEN 'changed' WHEN 1 THEN 'Dropped' ELSE 'kept' END",
+        "severity": f"CASE {x} % 7 WHEN 0 THEN 'minor' WHEN 1 THEN NULL ELSE 'critical' END",
+        "span": f"CASE WHEN {x} % 5 < 2 THEN ' span one ' WHEN {x} % 5 = 2 THEN '' ELSE 'span two' END",
+    }
+
+
+def _fact_flags(shift: int) -> dict[str, str]:
+    x = f"(doc_id + {shift})"
+    return {
+        "reversed_meaning": f"{x} % 8 < 4",
+        "register_kept": f"CASE WHEN {x} % 9 = 0 THEN NULL ELSE {x} % 9 > 5 END",
+        "format_kept": f"CASE WHEN {x} % 10 = 0 THEN NULL ELSE {x} % 4 > 1 END",
+        "greeting_signoff_kept": f"{x} % 6 > 3",
+    }
+
+
+def _fact_failed(shift: int) -> str:
+    return f"(doc_id * 5 + {shift}) % 17 = 0"
 
 
 def _fact_rows(spark, sf, shift: int) -> DataFrame:
-    return _table(spark, sf, "labels").selectExpr("doc_id", "explode(sequence(1, 4)) AS id").selectExpr(*_split(_fact_vote(shift)))
+    made = [f"{v} AS {k}" for k, v in _fact_vote(shift).items()]
+    return _table(spark, sf, "labels").selectExpr("doc_id", "explode(sequence(1, 4)) AS id").selectExpr("doc_id AS key", "id", *made)
+
+
+def _fact_votes(spark, sf, shift: int) -> DataFrame:
+    fact = ", ".join(f"'{k}', {v}" for k, v in _fact_vote(shift).items())
+    flags = ", ".join(f"'{k}', {v}" for k, v in _fact_flags(shift).items())
+    made = f"slice(array(named_struct('text', 'x', 'span', 'span one'), named_struct('text', 'y', 'span', 'span two')), 1, CAST((doc_id + {shift}) % 3 AS INT))"
+    verdict = f"named_struct('facts', transform(sequence(1, 4), id -> named_struct('id', id, {fact})), 'invented', {made}, {flags})"
+    return _table(spark, sf, "labels").selectExpr("doc_id AS key", f"CASE WHEN NOT ({_fact_failed(shift)}) THEN {verdict} END AS verdict")
+
+
+def _sql_fact_votes(shift: int, name: str) -> str:
+    facts_ = ", ".join(f"{v} AS {k}" for k, v in _fact_vote(shift).items())
+    flags = ", ".join(f"{v} AS {k}" for k, v in _fact_flags(shift).items())
+    return f"{name} AS (SELECT doc_id AS key, id, {facts_} FROM f), v{name} AS (SELECT doc_id AS key, NOT ({_fact_failed(shift)}) AS ok, (doc_id + {shift}) % 3 AS n_invented, {flags} FROM labels)"
 
 
-def _split(exprs: str) -> list[str]:
-    out, depth, now = [], 0, ""
-    for ch in exprs:
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and depth == 0:
-            out.append(now)
-            now = ""
-        else:
-            now += ch
-    return [*out, now]
+_FACT_SQL = f"f AS (SELECT doc_id, unnest([1, 2, 3, 4]) AS id FROM labels), {_sql_fact_votes(0, 'a')}, {_sql_fact_votes(2, 'b')}"
+_MERGED_FACTS = (
+    f"""WITH {_FACT_SQL}, mf AS (SELECT a.key, a.id, CASE WHEN w OR NOT vb.ok THEN a.status ELSE 'kept' END AS status,
+ CASE WHEN w AND vb.ok THEN CASE WHEN coalesce(a.severity, 'critical') = 'minor' OR coalesce(b.severity, 'critical') = 'minor' THEN 'minor' ELSE 'critical' END ELSE a.severity END AS severity
+ FROM a JOIN b ON a.key = b.key AND a.id = b.id JOIN va ON va.key = a.key JOIN vb ON vb.key = a.key, LATERAL (SELECT lower(a.status) <> 'kept' AND lower(b.status) <> 'kept' AS w) l WHERE va.ok),
+ mv AS (SELECT va.key, va.ok AS judged, CASE WHEN vb.ok AND NOT (va.n_invented > 0 AND vb.n_invented > 0) THEN 0 ELSE va.n_invented END AS n_invented, CASE WHEN vb.ok THEN va.reversed_meaning AND vb.reversed_meaning ELSE va.reversed_meaning END AS reversed_meaning, """
+    + ", ".join(f"CASE WHEN vb.ok THEN NOT (va.{k} IS NOT DISTINCT FROM false AND vb.{k} IS NOT DISTINCT FROM false) ELSE va.{k} END AS {k}" for k in verdicts.FACT_KEPT)
+    + " FROM va JOIN vb USING (key))"
+)
 
 
-_FACT_SQL = f"f AS (SELECT doc_id, unnest([1, 2, 3, 4]) AS id FROM labels), a AS (SELECT {_fact_vote(0)} FROM f), b AS (SELECT {_fact_vote(2)} FROM f)"
-_MERGED_FACTS = f"""WITH {_FACT_SQL}, mf AS (SELECT a.key, a.id, CASE WHEN w THEN a.status ELSE 'kept' END AS status,
- CASE WHEN w THEN CASE WHEN coalesce(a.severity, 'critical') = 'minor' OR coalesce(b.severity, 'critical') = 'minor' THEN 'minor' ELSE 'critical' END ELSE a.severity END AS severity
- FROM a JOIN b ON a.key = b.key AND a.id = b.id, LATERAL (SELECT lower(a.status) <> 'kept' AND lower(b.status) <> 'kept' AS w) l)"""
+def _merged_facts(spark, sf) -> DataFrame:
+    return verdicts.merge_facts(_fact_votes(spark, sf, 0), _fact_votes(spark, sf, 2), ["key"])
 
 
 @query(f"{_MERGED_FACTS} SELECT key, id, status, severity FROM mf")
 def two_vote_facts(spark, sf):
-    return verdicts.merge_facts(_fact_rows(spark, sf, 0).drop("span"), _fact_rows(spark, sf, 2).drop("span"), ["key"])
+    return _merged_facts(spark, sf).select("key", F.inline("verdict.facts")).select("key", "id", "status", "severity")
+
+
+@query(f"{_MERGED_FACTS} SELECT key, n_invented, reversed_meaning, register_kept, format_kept, greeting_signoff_kept FROM mv WHERE judged")
+def two_vote_flags(spark, sf):
+    merged = reward.folded(_merged_facts(spark, sf)).filter("judged")
+    return merged.select("key", "n_invented", "reversed_meaning", *verdicts.FACT_KEPT)
 
 
-_SCORE_INPUT = {"n_invented": "key % 3", "reversed_meaning": "key % 8 = 0", "register_kept": "key % 9 <> 0", "format_kept": "CASE WHEN key % 10 = 0 THEN NULL ELSE key % 4 <> 0 END", "greeting_signoff_kept": "key % 6 <> 0", "reuse": "(key * 37 % 100) / 100.0E0", "hard": "CASE WHEN key % 43 = 0 THEN 'empty' END", "judged": "key % 19 <> 0"}
+_SCORE_INPUT = {"reuse": "(key * 37 % 100) / 100.0E0", "hard": "CASE WHEN key % 43 = 0 THEN 'empty' END"}
 _PEN = "least(8.0, 8.0 * pow(greatest(0.0, (reuse - 0.31) / 0.69), 1.61))"
 
 
 def _scored(spark, sf) -> DataFrame:
-    merged = verdicts.merge_facts(_fact_rows(spark, sf, 0).drop("span"), _fact_rows(spark, sf, 2).drop("span"), ["key"])
-    return reward.score(reward.fact_sums(merged, ["key"]).selectExpr("*", *[f"{v} AS {k}" for k, v in _SCORE_INPUT.items()]))
+    return reward.score(reward.folded(_merged_facts(spark, sf)).selectExpr("*", *[f"{v} AS {k}" for k, v in _SCORE_INPUT.items()]))
 
 
 _SCORED = (
     f"{_MERGED_FACTS}, s AS (SELECT key, count(*) FILTER (WHERE lower(status) = 'changed') AS changed, count(*) FILTER (WHERE lower(status) = 'dropped') AS dropped, "
     "count(*) FILTER (WHERE lower(status) <> 'kept' AND coalesce(severity, 'critical') = 'critical') AS critical, count(*) FILTER (WHERE lower(status) <> 'kept' AND severity = 'minor') AS minor FROM mf GROUP BY 1), "
-    "x AS (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in _SCORE_INPUT.items()) + f" FROM s), scored AS (SELECT *, {_PEN} AS copy_pen, CAST(CASE WHEN hard IS NOT NULL THEN -8.0 WHEN judged THEN "
+    "x AS (SELECT key, coalesce(changed, 0) AS changed, coalesce(dropped, 0) AS dropped, coalesce(critical, 0) AS critical, coalesce(minor, 0) AS minor, judged, n_invented, reversed_meaning, register_kept, format_kept, greeting_signoff_kept, "
+    + ", ".join(f"{v} AS {k}" for k, v in _SCORE_INPUT.items())
+    + f" FROM mv LEFT JOIN s USING (key)), scored AS (SELECT *, {_PEN} AS copy_pen, CAST(CASE WHEN hard IS NOT NULL THEN -8.0 WHEN judged THEN "
     f"0.0 - (critical * 3.0 + minor * 0.15 + n_invented * 2.0 + CASE WHEN reversed_meaning THEN 2.0 ELSE 0.0 END + CASE WHEN NOT register_kept THEN 1.0 ELSE 0.0 END + CASE WHEN NOT format_kept THEN 1.5 ELSE 0.0 END + CASE WHEN NOT greeting_signoff_kept THEN 1.5 ELSE 0.0 END + {_PEN}) END AS DOUBLE) AS reward FROM x)"
 )
 
 
+@query(f"""{_SCORED}, o AS (SELECT key % 10 AS step, hard, critical, minor, reward IS NULL AS failed, coalesce(reward, -1.0) AS reward FROM scored)
+SELECT step, round(avg(reward), 9) AS mean_reward, min(reward) AS min_reward, max(reward) AS max_reward, count(hard) AS hard_fails, count(*) FILTER (WHERE failed) AS judge_fails, CAST(sum(critical) AS BIGINT) AS critical, CAST(sum(minor) AS BIGINT) AS minor FROM o GROUP BY 1""")
+def online_reward(spark, sf):
+    log = reward.online(_scored(spark, sf)).withColumn("step", F.col("key") % 10)
+    return datasets.step_log(log).withColumn("mean_reward", F.round("mean_reward", 9))
+
+
 @query(f"{_SCORED} SELECT key, changed, dropped, critical, minor, round(copy_pen, 9) AS copy_pen, round(reward, 9) AS reward FROM scored")
 def reward_score(spark, sf):
     return _scored(spark, sf).select("key", "changed", "dropped", "critical", "minor", F.round("copy_pen", 9).alias("copy_pen"), F.round("reward", 9).alias("reward"))
@@ -423,6 +507,18 @@ def span_weights(spark, sf):
     return reward.span_weights(tokens, spans).withColumn("weight", F.round("weight", 9))
 
 
+_TURN_COPY = "(pair_id * 37 % 100) / 100.0E0"
+
+
+@query(f"""WITH {_PAIRS}, x AS (SELECT pair_id, CASE pair_id % 6 WHEN 0 THEN '今天下午三点我们在会议室开会讨论' ELSE draft END AS draft, CASE pair_id % 11 WHEN 0 THEN chr(10) WHEN 1 THEN NULL ELSE output END AS output, pair_id % 7 = 0 AS degenerate, {_TURN_COPY} AS copy FROM p),
+ y AS (SELECT *, len(regexp_extract_all(left(draft, 400), '{_HAN}')) > len(regexp_extract_all(left(draft, 400), '[A-Za-z]{{2,}}')) AS dc, len(regexp_extract_all(left(output, 400), '{_HAN}')) > len(regexp_extract_all(left(output, 400), '[A-Za-z]{{2,}}')) AS oc FROM x)
+SELECT pair_id, CASE WHEN trim(coalesce(output, ''), concat(' ', chr(10))) = '' THEN 'empty' WHEN degenerate THEN 'degenerate' WHEN copy > 0.85E0 THEN printf('copy %.2f', copy) WHEN dc <> oc THEN 'language_switch' END AS hard FROM y""")
+def hard_fail(spark, sf):
+    p = pairs.turn_pairs(_table(spark, sf, "conversations"))
+    x = p.selectExpr("pair_id", "CASE pair_id % 6 WHEN 0 THEN '今天下午三点我们在会议室开会讨论' ELSE draft END AS draft", "CASE pair_id % 11 WHEN 0 THEN chr(10) WHEN 1 THEN NULL ELSE output END AS output", "pair_id % 7 = 0 AS degenerate", f"{_TURN_COPY} AS copy")
+    return x.select("pair_id", reward.hard_check(F.col("draft"), F.col("output"), F.col("degenerate"), F.col("copy")).alias("hard"))
+
+
 # ---- data sets ----------------------------------------------------------------------------------------------
 def _candidates(spark, sf) -> DataFrame:
     return _flagged(spark, sf).withColumn("i", F.col("key") % 4).withColumn("key", F.floor(F.col("key") / 4))
@@ -454,6 +550,16 @@ def pref_funnel(spark, sf):
     return datasets.funnel(datasets.choose(_candidates(spark, sf)))
 
 
+@query()
+def preference_build(spark, sf):
+    """Pairs with texts and metrics of turns: the answer, the draft itself, and a blank are the candidates."""
+    turns = pairs.turn_pairs(_table(spark, sf, "conversations")).withColumnRenamed("pair_id", "key")
+    cands = turns.select("key", F.lit("en").alias("src"), F.array("output", "draft", F.lit(" "), F.concat("output", F.lit(" And that is all there is to say."))).alias("cands"))
+    fields = ", ".join(f"'{k}', {v}" for k, v in _vote(0).items()).replace("doc_id", "(key + i)").replace("quality", "1").replace("toxic", "0").replace("VARCHAR(20)", "STRING")
+    votes = turns.selectExpr("key", "explode(sequence(0, 3)) AS i").filter("i <> 2").selectExpr("key", "i", f"named_struct({fields}) AS verdict")
+    return datasets.build_preferences(cands, turns, votes, "turns", structure=True, identity_bad=True)[0]
+
+
 @query("""SELECT key, src, array_to_string(cands, '|') AS cands FROM (SELECT user_id AS key, min_by(event_type, event_id) AS src, list(CAST(event_id AS VARCHAR) ORDER BY event_id) AS cands FROM events GROUP BY 1)""")
 def merge_candidates(spark, sf):
     rows = _table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("src"), F.array(F.col("event_id").cast("string")).alias("cands"), F.lit("a").alias("file"), F.col("event_id").alias("line"))
@@ -512,15 +618,27 @@ def group_split(spark, sf):
     return datasets.group_split(_table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "side")
 
 
-@query(f"WITH {_GROUPS}, t AS (SELECT side, lower(text) AS t FROM split JOIN documents USING (doc_id)) SELECT count(*) AS n FROM (SELECT t FROM t WHERE side = 'eval' INTERSECT SELECT t FROM t WHERE side = 'train')")
+@query(f"WITH {_GROUPS}, t AS (SELECT side, lower(trim(regexp_replace(text, '[\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x85]+', ' ', 'g'))) AS t FROM split JOIN documents USING (doc_id)) SELECT count(*) AS n FROM (SELECT t FROM t WHERE side = 'eval' INTERSECT SELECT t FROM t WHERE side = 'train')")
 def leak_check(spark, sf):
     split = datasets.group_split(_table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
     return datasets.leaks(split, "text").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT doc_id, p AS position FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('11:' || doc_id)) - 1 AS p FROM documents) WHERE p < 300")
 def seeded_shuffle(spark, sf):
-    return datasets.shuffled(_table(spark, sf, "documents").select("doc_id"), "doc_id", 11)
+    return datasets.shuffled(_table(spark, sf, "documents").select("doc_id"), "doc_id", 11, 300)
+
+
+@query("SELECT doc_id, length(text) AS n FROM documents WHERE doc_id % 40 BETWEEN 2 AND 30 AND length(text) <= 6000")
+def ledger_filter(spark, sf):
+    rows = _table(spark, sf, "documents").selectExpr("doc_id", "text AS draft", "CASE WHEN doc_id % 40 = 0 THEN array() ELSE sequence(1L, doc_id % 40) END AS facts")
+    return datasets.ledger_filter(rows).select("doc_id", F.length("draft").cast("long").alias("n"))
+
+
+@query("SELECT doc_id, text IS NOT NULL AND text <> '' AS filled FROM documents WHERE text IS NOT NULL AND text <> ''")
+def check_filled(spark, sf):
+    rows = _table(spark, sf, "documents").select("doc_id", "text").filter("text <> ''")
+    return datasets.check_filled(rows, ["doc_id", "text"]).select("doc_id", F.lit(True).alias("filled"))
 
 
 @query("SELECT doc_id FROM documents WHERE len(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) <= 400")

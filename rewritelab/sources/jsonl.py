@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -44,32 +45,51 @@ def append_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def overwrite(df: DataFrame, path: str, limit: int | None = None) -> str:
-    """Full results and limited ones never share a path."""
+def overwrite(df: DataFrame, path: str, limit: int | None = None, order: list[str] | None = None) -> str:
+    """Full results and limited ones never share a path.  A limit takes the first rows by ``order`` (by all columns, if none is named)."""
     target = path if limit is None else f"{path}_limit{limit}"
-    (df if limit is None else df.limit(limit)).write.mode("overwrite").json(target)
+    (df if limit is None else df.orderBy(*(order or df.columns)).limit(limit)).write.mode("overwrite").json(target)
     return target
 
 
-def judged(jobs: DataFrame, ask: Callable[[str], str | None], prompt_col: str = "prompt", tries: int = 3, workers: int | None = None) -> DataFrame:
-    """``jobs`` with ``answer``: an injectable judge client, retried; null after the last failure.
+def backoff(attempt: int, reason: str) -> float | None:
+    """Longer after an overloaded or failing server, shorter after an empty answer or a broken line; other refusals are final."""
+    if reason.startswith("HTTP"):
+        return 2.0 + 4 * attempt if reason[4:] in ("429", "500", "502", "503") else None
+    return 1.0 + 2 * attempt
+
+
+def judged(jobs: DataFrame, ask: Callable[[str], str | None], prompt_col: str = "prompt", tries: int = 3, workers: int | None = None, pause: Callable[[int, str], float | None] = backoff) -> DataFrame:
+    """``jobs`` with ``answer``, by an injectable judge client (null after the last failure), and ``failures``, a reason for each.
+
+    A reason is ``empty``, the error's status code as HTTP<code>, or the error's class; ``pause`` says by attempt and
+    reason how many seconds to wait before the next one, or None to give up.  Counts of reasons are a group-by away.
 
     One client call a row inside mapInPandas; ``workers`` bounds concurrency by partitions.  Filter out
     rows that need no judge before this step: a CASE does not keep a Python stage from seeing them.
     """
-    schema = ", ".join(f"`{n}` {t}" for n, t in jobs.dtypes) + ", answer string"
+    schema = ", ".join(f"`{n}` {t}" for n, t in jobs.dtypes) + ", answer string, failures array<string>"
 
-    def once(p: str) -> str | None:
-        for _ in range(tries):
+    def once(p: str) -> tuple[str | None, list[str]]:
+        failures: list[str] = []
+        for attempt in range(tries):
             try:
-                if (a := ask(p)) is not None:
-                    return a
-            except Exception:  # a judge may fail in any way; the row then has no verdict
-                continue
-        return None
+                if a := ask(p):
+                    return a, failures
+                failures.append("empty")
+            except Exception as e:  # a judge may fail in any way; the row then has no verdict
+                code = getattr(e, "code", None)
+                failures.append(type(e).__name__ if code is None else f"HTTP{code}")
+            wait = pause(attempt, failures[-1])
+            if wait is None:
+                break
+            if attempt + 1 < tries:
+                time.sleep(wait)
+        return None, failures
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(answer=[once(p) for p in b[prompt_col]])
+            got = [once(p) for p in b[prompt_col]]
+            yield b.assign(answer=[a for a, _ in got], failures=[f for _, f in got])
 
     return (jobs.repartition(workers) if workers else jobs).mapInPandas(run, schema)
