@@ -9,7 +9,7 @@ comparison.  A bucket with a third of all rows is no hot spot: the rows of heavy
 counting) are dealt over SALTS parts, each part compared by itself as a minimum and a maximum, then the parts.
 
 Defined results: null text counts as empty; rows with equal ids are separate rows; a null id sorts before the
-others; empty tables give no rows; extra columns are ignored.
+others; empty tables give no rows; extra columns are ignored (or carried along, by ``fingerprint``).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HEAVY, NULL_ID, cut, id_bounds, id_key, range_of, table, text_of
+from .common import HEAVY, NULL_ID, columns_of, cut, id_bounds, id_key, range_of, table, text_of
 
 #: White space after NFKC: Java's \s and the separators that NFKC leaves.
 SPACE = r"[\s\x85\x{1680}\x{2028}\x{2029}]+"
@@ -71,9 +71,12 @@ def told_apart(rows: DataFrame, folded: str, mark: str, clashing: DataFrame) ->
 
 
 def fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
-    """``docs`` with the exact digest of its text in ``out``."""
-    rows = docs.withColumn("__folded", fold(text_of(text_col))).withColumn(out, digest(F.col("__folded")))
-    return told_apart(rows, "__folded", out, cut(collisions(rows, "__folded", out))).drop("__folded")
+    """``docs`` with the exact digest of its text in ``out`` (in place of a column of that name); other columns stay, whatever their names."""
+    kept = [c for c, name in zip(columns_of(docs), docs.columns) if name.lower() != out.lower()]
+    packed = docs.select(F.struct(*kept).alias("__all"), fold(text_of(text_col)).alias("__folded"))
+    rows = packed.withColumn("__digest", digest(F.col("__folded")))
+    marked = told_apart(rows, "__folded", "__digest", cut(collisions(rows, "__folded", "__digest")))
+    return marked.select("__all.*", F.col("__digest").alias(out))
 
 
 def next_ids(ids: DataFrame, key: str) -> DataFrame:
@@ -91,22 +94,40 @@ def next_ids(ids: DataFrame, key: str) -> DataFrame:
 
 
 def with_next(docs: DataFrame, clashing: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, ``next_mark`` (the next id's digest) and ``next_head``: the next id's text, cut to a quarter of the
-    own text's code points.
+    """doc_id, text, ``mark`` (its digest), ``next_mark`` (the next id's) and ``next_head``: the next id's text, cut to a
+    quarter of the own text's code points.
 
-    (Its smallest text, should the next id repeat.)  Texts are shuffled once, by id; both sides of the join read
-    that exchange, and only heads are shuffled again.
+    (Its smallest text, should the next id repeat.)  Texts are folded and shuffled once, by id; both sides of the join
+    read that exchange, and only heads are shuffled again.  The rows of heavy ids (fewer than HEAVY, by counting; rows
+    without an id are one) are dealt over SALTS parts by their texts.
     """
     rows = docs.select(id_key(id_col).alias("__key"), text_of(text_col).alias("text"))
     quarter = F.floor(F.length("text") / 4).cast("int")
-    ids = cut(rows.select("__key", quarter.alias("__q")).groupBy("__key").agg(F.max("__q").alias("__q")))
-    order = next_ids(ids, "__key").select(F.col("__key").alias("__of"), "__q", "__next")
-    dealt = rows.repartition(F.col("__key"))
-    first = dealt.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy("text"))).filter("__n = 1").withColumn("__folded", fold(F.col("text")))
-    first = told_apart(first.withColumn("next_mark", digest(F.col("__folded"))), "__folded", "next_mark", clashing)
-    heads = first.join(order, F.col("__key") == F.col("__next")).select("__of", F.substring("text", F.lit(1), F.col("__q")).alias("__head"), "next_mark")
-    met = dealt.join(heads, F.col("__key") == F.col("__of"))
-    return met.select(F.nullif("__key", F.lit(NULL_ID)).alias("doc_id"), "text", F.substring("__head", F.lit(1), quarter).alias("next_head"), "next_mark")
+    ids = cut(rows.select("__key", quarter.alias("__q")).groupBy("__key").agg(F.max("__q").alias("__q"), F.count("*").alias("__n")))
+    n = ids.agg(F.sum("__n")).first()[0] or 0
+    heavy = [r["__key"] for r in ids.filter((F.col("__n") * HEAVY > n) & (F.col("__n") > 1)).select("__key").collect()]  # HEAVY at most
+    hot = lambda key: F.col(key).isin(heavy) if heavy else F.lit(False)
+    order = next_ids(ids.drop("__n"), "__key").select(F.col("__key").alias("__of"), "__q", "__next")
+    folded = rows.withColumn("__folded", fold(F.col("text"))).withColumn("mark", digest(F.col("__folded")))
+    folded = told_apart(folded, "__folded", "mark", clashing).select("__key", "text", "mark")
+    if heavy:
+        folded = folded.withColumn("__part", F.when(hot("__key"), F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")).otherwise(0))
+    keys = ["__key", "__part"] if heavy else ["__key"]
+    dealt = folded.repartition(*keys)
+    first = dealt.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("text")))
+    if heavy:  # compared with the window's output, so that no filter gets below the exchange, which is shared
+        of_part = first.filter(F.col("__n") == F.when(hot("__key"), 1).otherwise(-1))  # fewer than HEAVY * SALTS rows
+        parts = of_part.groupBy("__key").agg(F.min(F.struct("text", "mark")).alias("x")).select("__key", "x.text", "x.mark")
+        first = first.filter(F.col("__n") == F.when(hot("__key"), -1).otherwise(1)).select("__key", "text", "mark").unionByName(parts)
+    else:
+        first = first.filter("__n = 1")
+    heads = first.join(order, F.col("__key") == F.col("__next")).select("__of", F.substring("text", F.lit(1), F.col("__q")).alias("__head"), F.col("mark").alias("next_mark"))
+    on = F.col("__key") == F.col("__of")
+    if heavy:
+        heads = heads.withColumn("__to", F.explode(F.when(hot("__of"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        on = on & (F.col("__part") == F.col("__to"))
+    met = dealt.join(heads, on)
+    return met.select(F.nullif("__key", F.lit(NULL_ID)).alias("doc_id"), "text", "mark", F.substring("__head", F.lit(1), quarter).alias("next_head"), "next_mark")
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,22 +138,16 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_next(docs, clashing).withColumn("n_chars", F.length("text").cast("long"))
     kept = (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")
     rows = rows.withColumn("__edited", F.concat(F.substring("text", F.lit(1), kept), F.col("next_head")))
-    rows = rows.select(
-        "doc_id",
-        "n_chars",
-        "next_mark",
-        F.sha2("__edited", 256).alias("edited_sha256"),
-        fold(F.col("text")).alias("__folded"),
-        fold(F.col("__edited")).alias("__edited_folded"),
-    ).withColumns({"fingerprint": digest(F.col("__folded")), "edited_fingerprint": digest(F.col("__edited_folded"))})
-    rows = told_apart(rows, "__folded", "fingerprint", clashing)
-    rows = told_apart(rows, "__edited_folded", "edited_fingerprint", clashing)
+    rows = rows.select("doc_id", "n_chars", "text", "next_mark", F.col("mark").alias("fingerprint"), F.sha2("__edited", 256).alias("edited_sha256"), fold(F.col("__edited")).alias("__edited_folded"))
+    rows = told_apart(rows.withColumn("edited_fingerprint", digest(F.col("__edited_folded"))), "__edited_folded", "edited_fingerprint", clashing)
+    # bytes are compared, but only where digests are equal
+    near_edited = F.when(F.col("fingerprint") == F.col("edited_fingerprint"), (fold(F.col("text")) == F.col("__edited_folded")).cast("double")).otherwise(0.0)
     return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
-        (F.col("__folded") == F.col("__edited_folded")).cast("double").alias("near_edited"),
+        near_edited.alias("near_edited"),
         (F.col("fingerprint") == F.col("next_mark")).cast("double").alias("near_next"),
     )
