@@ -86,7 +86,7 @@ def chosen_large(large: DataFrame, goals: DataFrame) -> DataFrame:
     By falling size, each document that still fits into what is left of the part is chosen.
     """
     own = large.groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("less"), "__order", "doc_id", "size"))).alias("__all"))
-    met = own.join(goals.select(F.col("source").alias("__of"), (F.col("target") - F.floor(F.col("target") / F.col("source_size") + F.lit(1e-12)) * F.col("source_size")).alias("__part")), F.col("source").eqNullSafe(F.col("__of")))
+    met = own.join(goals.select(F.col("source").alias("__of"), (F.col("target") - F.floor(F.try_divide(F.col("target"), F.col("source_size")) + F.lit(1e-12)) * F.col("source_size")).alias("__part")), F.col("source").eqNullSafe(F.col("__of")))
     none = F.struct(F.col("__part").cast("double").alias("left"), F.expr("CAST(array() AS array<boolean>)").alias("fits"))
 
     def add(now: Column, x: Column) -> Column:
