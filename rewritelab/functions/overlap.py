@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,17 +12,24 @@ from . import text
 WORDS, CHARACTERS = 5, 6
 
 
+def _character_runs(t: Column) -> Column:
+    letters = F.filter(F.split(F.regexp_replace(F.coalesce(t, F.lit("")), r"(?U)\s+", ""), ""), lambda c: c != "")
+    return F.filter(F.transform(text.windows(letters, CHARACTERS), lambda g: F.concat(F.lit("c:"), F.array_join(g, ""))), text.has_cjk)
+
+
 def grams(t: Column, cjk: Column) -> Column:
     """Word 5-grams; with ``cjk`` also 6-character windows that hold a CJK character.  Prefixes keep the kinds apart."""
     own = F.transform(text.windows(text.words(t), WORDS), lambda g: F.concat(F.lit("w:"), F.array_join(g, " ")))
-    letters = F.filter(F.split(F.regexp_replace(F.coalesce(t, F.lit("")), r"(?U)\s+", ""), ""), lambda c: c != "")
-    runs = F.filter(F.transform(text.windows(letters, CHARACTERS), lambda g: F.concat(F.lit("c:"), F.array_join(g, ""))), text.has_cjk)
-    return F.when(cjk, F.concat(own, runs)).otherwise(own)
+    return F.when(cjk, F.concat(own, _character_runs(t))).otherwise(own)
 
 
 def gram_hashes(t: Column, cjk: Column) -> Column:
-    """64-bit hashes of ``grams``, as many."""
-    return F.transform(grams(t, cjk), lambda g: F.xxhash64(g))
+    """64-bit hashes, one for each of ``grams``; words are hashed once and a 5-gram is the hash of its words' hashes."""
+    none = F.array().cast("array<int>")
+    five = lambda x: lambda i: F.xxhash64(*[F.get(x, i + k) for k in range(WORDS)])
+    runs = lambda x: F.transform(F.when(F.size(x) >= WORDS, F.sequence(F.lit(0), F.size(x) - WORDS)).otherwise(none), five(x))
+    own = text.let(F.transform(text.words(t), lambda w: F.xxhash64(w)), runs)
+    return F.when(cjk, F.concat(own, F.transform(_character_runs(t), lambda g: F.xxhash64(g)))).otherwise(own)
 
 
 def share_found(of: Column, among: Column) -> Column:
@@ -29,6 +38,20 @@ def share_found(of: Column, among: Column) -> Column:
     return text.let(F.array_distinct(among), lambda known: text.let(of, lambda x: share(x, known)))
 
 
+def share_met(of: Column, among: Column) -> Column:
+    """``share_found`` for arrays of any length, none null: a binary search for each item in the sorted others."""
+
+    def met(known: Column, steps: Column) -> Callable[[Column], Column]:
+        below = lambda g: F.aggregate(steps, F.lit(0), lambda low, s: F.when(F.get(known, low + s - 1) < g, low + s).otherwise(low))
+        return lambda g: F.get(known, below(g)) == g
+
+    def share(x: Column, known: Column) -> Column:
+        powers = F.filter(F.array(*[F.lit(1 << i) for i in range(30, -1, -1)]), lambda s: s <= F.size(known))
+        return text.let(powers, lambda steps: F.when(F.size(x) > 0, F.size(F.filter(x, met(known, steps))) / F.size(x)).otherwise(0.0))
+
+    return text.let(F.array_sort(F.array_distinct(among)), lambda known: text.let(of, lambda x: share(x, known)))
+
+
 def copy_5gram(draft: Column, output: Column) -> Column:
     cjk = text.has_cjk(draft) | text.has_cjk(output)
     return share_found(grams(output, cjk), grams(draft, cjk))

@@ -44,15 +44,11 @@ def cheap_metrics(pairs: DataFrame) -> DataFrame:
 
 
 def overlap_by_grams(pairs: DataFrame) -> DataFrame:
-    """pair_id, copy_5gram, draft_coverage for texts of any length: one shuffle, of two numbers a gram, by pair; grams meet by 64-bit hash."""
+    """pair_id, copy_5gram, draft_coverage for texts of any length: grams meet by 64-bit hash inside the row, n log n, without a shuffle."""
     cjk = text.has_cjk(F.col("draft")) | text.has_cjk(F.col("output"))
-    found = pairs.select("pair_id", overlap.gram_hashes(F.col("draft"), cjk).alias("a"), overlap.gram_hashes(F.col("output"), cjk).alias("b"))
-    one = lambda d, o: lambda h: F.struct(h.alias("h"), F.lit(d).alias("d"), F.lit(o).alias("o"))
-    rows = found.select("pair_id", F.inline(F.concat(F.transform("a", one(1, 0)), F.transform("b", one(0, 1))))).repartition("pair_id")
-    counts = rows.groupBy("pair_id", "h").agg(F.sum("d").alias("d"), F.sum("o").alias("o"))
-    sums = counts.groupBy("pair_id").agg(F.sum("d").alias("d"), F.sum("o").alias("o"), F.sum(F.when(F.col("d") > 0, F.col("o"))).alias("oh"), F.sum(F.when(F.col("o") > 0, F.col("d"))).alias("dh"))
-    share = lambda hit, of: F.when(F.col(of) > 0, F.coalesce(hit, F.lit(0)) / F.col(of)).otherwise(0.0)
-    return pairs.select("pair_id").join(sums, "pair_id", "left").select("pair_id", share(F.col("oh"), "o").alias("copy_5gram"), share(F.col("dh"), "d").alias("draft_coverage"))
+    both = F.struct(overlap.gram_hashes(F.col("draft"), cjk).alias("d"), overlap.gram_hashes(F.col("output"), cjk).alias("o"))
+    shares = text.let(both, lambda g: F.struct(overlap.share_met(g["o"], g["d"]).alias("copy_5gram"), overlap.share_met(g["d"], g["o"]).alias("draft_coverage")))
+    return pairs.select("pair_id", shares.alias("s")).select("pair_id", "s.copy_5gram", "s.draft_coverage")
 
 
 def all_metrics(pairs: DataFrame, body_only: bool = True) -> DataFrame:
