@@ -17,4 +17,4 @@ QUERIES = {
     "op10_language": language.op10_language,
 }
 
-ORACLES = {"op3_decontamination": decontamination.OP3_SQL}
+ORACLES = {"op2_sharding": sharding.OP2_SQL, "op3_decontamination": decontamination.OP3_SQL}

@@ -128,3 +128,66 @@ def shard_stored(docs: DataFrame, shards: int, window: int = WINDOW, seed: int =
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), 24)
+
+
+# The multipliers of XXH64, the table of CRC-32 by half bytes, and the hash states of the six round keys of SEED.
+_P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+_CRC = [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]
+_STATES = [4024402156280981605, 5400790572861747350, 11585981684176798143, 1990837119967392506, 13834567707116448004, 1828109323872164131]
+
+
+def _sql_add(x: str, y: int) -> str:
+    return f"(({x}::UHUGEINT + {y}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
+def _sql_times(x: str, y: int) -> str:
+    return f"(({x}::UHUGEINT * {y}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
+def _sql_turned(x: str, bits: int) -> str:
+    return f"({_sql_times(x, 1 << bits)} | ({x} >> {64 - bits}))"
+
+
+def _sql_hash(rows: str) -> str:
+    """``rows`` with h7: the 64-bit hash of the unsigned x, from state s; one step a layer."""
+    steps = [
+        _sql_times("x", _P2),
+        _sql_times(_sql_turned("h1", 31), _P1),
+        f"xor({_sql_add('s', _P5 + 8)}, h2)",
+        _sql_add(_sql_times(_sql_turned("h3", 27), _P1), _P4),
+        _sql_times("xor(h4, h4 >> 33)", _P2),
+        _sql_times("xor(h5, h5 >> 29)", _P3),
+        "xor(h6, h6 >> 32)",
+    ]
+    for i, step in enumerate(steps, 1):
+        rows = f"SELECT *, {step} AS h{i} FROM ({rows})"
+    return rows
+
+
+def _sql_mod(m: str) -> str:
+    """h7 as a signed number, modulo m, not negative."""
+    return f"(((h7::HUGEINT - CASE WHEN h7 >= 9223372036854775808::UBIGINT THEN 18446744073709551616::HUGEINT ELSE 0 END) % {m} + {m}) % {m})::BIGINT"
+
+
+_WALKING = "SELECT walk.*, turn, s, (CASE WHEN turn % 2 = 0 THEN r ELSE l END)::UBIGINT AS x FROM walk JOIN states ON turn = i % 6 WHERE NOT (i > 0 AND i % 6 = 0 AND l * b + r < n)"
+
+#: The same rows by DuckDB: a recursive query walks the rounds, six a pass, until the number is below n.
+OP2_SQL = f"""
+WITH RECURSIVE texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+sums AS (
+  SELECT doc_id::BIGINT AS doc_id, octet_length(encode(t))::BIGINT + 8 AS size,
+    xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(regexp_extract_all(hex(encode(t)), '..'),
+      lambda p: [strpos('0123456789ABCDEF', p[2]) - 1, strpos('0123456789ABCDEF', p[1]) - 1]))),
+      lambda c, x: xor(c >> 4, ({_CRC}::BIGINT[])[(xor(c, x) & 15) + 1])), 4294967295::BIGINT) AS text_crc32
+  FROM texts),
+numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS nr, count(*) OVER () AS n FROM sums),
+sides AS (SELECT *, floor(sqrt(n - 1))::BIGINT + 1 AS a FROM numbered),
+states AS (SELECT unnest({_STATES}::UBIGINT[]) AS s, unnest(range(6)) AS turn),
+walk AS (
+  SELECT nr, n, a, (n + a - 1) // a AS b, nr // ((n + a - 1) // a) AS l, nr % ((n + a - 1) // a) AS r, 0 AS i FROM sides
+  UNION ALL
+  SELECT nr, n, a, b, CASE WHEN turn % 2 = 0 THEN (l + {_sql_mod("a")}) % a ELSE l END, CASE WHEN turn % 2 = 1 THEN (r + {_sql_mod("b")}) % b ELSE r END, i + 1
+  FROM ({_sql_hash(_WALKING)}))
+SELECT doc_id, size, text_crc32, 'rows' AS law, ((l * b + r) % 24)::INTEGER AS shard, (l * b + r) // 24 AS slot, NULL::INTEGER AS grown_shard, l * b + r AS position
+FROM numbered JOIN (SELECT nr, l, r, b FROM walk WHERE i > 0 AND i % 6 = 0 AND l * b + r < n) USING (nr)
+"""

@@ -374,3 +374,19 @@ def test_scoring(spark, docs, empty):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
     assert all(r["train_tokens"] == n and r["score"] < 0 for r in got) and scoring.score_documents(rows.limit(0)).count() == 0
     assert sum(zlib.crc32(str(d).encode()) % 10 == 0 for d, _, _ in tokens if d is not None) == sum(h for _, h, _ in tokens)
+
+
+def test_op2_against_sql(spark, tmp_path):
+    """Rows without ids, repeated rows, null, empty and long texts, texts beyond ASCII."""
+    import duckdb
+
+    texts = [None, "", "a", "héllo Ｗörld \U0001f600", "x y " * 9000, "quote ' and \\", "zz"]
+    rows = [((i * 37) % 50 if i % 9 else None, texts[i % 7]) for i in range(131)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(sharding.OP2_SQL)
+    got = sharding.op2_sharding(spark, str(tmp_path))
+    assert got.columns == [c[0] for c in want.description]
+    place = lambda r: r[-1]
+    assert sorted(map(tuple, got.collect()), key=place) == sorted(want.fetchall(), key=place)
