@@ -10,7 +10,7 @@ history: a bias, the last word, the last two, and two skips (the word before the
 
 Learning runs over all training documents, in rounds, each over a part by hash.  Each round, tasks compute expected and
 observed feature counts of their documents under the broadcast weights, and the gradient and curvature of the tree's
-weights, and send sums (in blocks); a tree of sums, as deep as the number of tasks asks for, leaves one array, and the
+weights, over every token, and send sums (in blocks); a tree of sums, as deep as the number of tasks asks for, leaves one array, and the
 driver takes a gradient step, scaled feature by feature.  Buckets, tree weights and rounds grow with the training tokens, see sizes().
 
 Unigram counts are exact over all training tokens.  The HEAD most frequent words of all training documents are numbered
@@ -59,8 +59,6 @@ END, START, RARE, OTHER = 0, 65534, 65535, 1 << 31
 CHUNK = 1 << 16
 #: Tokens that go down the tree at a time, so that their arrays stay in cache.
 TREE_CHUNK = 1 << 12
-#: Of so many such parts, one gives the curvature, which only scales the steps.
-CURVED = 4
 LN10 = float(np.log(10))
 
 
@@ -202,12 +200,9 @@ class Tree:
         return np.where(ids >= OTHER, (ids >> 8 & np.uint32((1 << self.levels) - 1)).astype(np.int32), self.head[np.minimum(ids, RARE)])
 
     def descend(self, raw: np.ndarray, cells: np.ndarray, weights: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
-        """log P(cell | history) of tokens with history hashes ``raw``; or, given ``sums``, add gradient and curvature by weight."""
+        """log P(cell | history) of tokens with history hashes ``raw``; or, given ``sums`` (complex, by weight), add every token's gradient and, as imaginary part, curvature."""
         down, out = np.uint32(33 - len(weights).bit_length()), np.zeros(len(cells), np.float64)
-        parts = -(-len(cells) // TREE_CHUNK)
-        scale = parts / max(1, -(-parts // CURVED))
         for first in range(0, len(cells), TREE_CHUNK):
-            curved = first // TREE_CHUNK % CURVED == 0
             own = slice(first, first + TREE_CHUNK)
             h, cell = (raw[1:, own] >> np.uint64(20)).astype(np.uint32), cells[own]
             for level in range(self.levels):
@@ -221,13 +216,10 @@ class Tree:
                 if sums is None:
                     out[own] += np.log(np.maximum(1 - np.abs(right - p), 1e-12))
                     continue
-                gap = (right - p).astype(np.float64)
+                both = np.empty(len(z), np.complex128)  # one pass over memory for two numbers
+                both.real, both.imag = right - p, p * (1 - p)
                 for f in at:
-                    np.add.at(sums[0], f, gap)
-                if curved:
-                    bend = (p * (1 - p) * scale).astype(np.float64)
-                    for f in at:
-                        np.add.at(sums[1], f, bend)
+                    np.add.at(sums, f, both)
         return out
 
 
@@ -332,7 +324,7 @@ def round_counts(docs: DataFrame, weights: np.ndarray, leaves: np.ndarray, fixed
         seen = [np.zeros(buckets * x, np.int64) for x in widths]
         due = [np.zeros((x, buckets), np.float64) for x in widths]
         bias = [np.zeros((CLASSES, x), np.float64) for x in widths]  # by class; its rows take every token
-        sums = np.zeros((2, len(w_tree)))
+        sums = np.zeros(len(w_tree), np.complex128)
         n = 0
         for b in batches:
             for ids, starts in documents_of(b.column(0)):
@@ -360,7 +352,7 @@ def round_counts(docs: DataFrame, weights: np.ndarray, leaves: np.ndarray, fixed
         seen = np.concatenate([x.reshape(buckets, -1) for x in seen], axis=1)
         due = np.concatenate(due, axis=1)
         if n:
-            yield message(np.concatenate([(seen - due).ravel(), (0.5 * (seen + due)).ravel(), sums.ravel()]))
+            yield message(np.concatenate([(seen - due).ravel(), (0.5 * (seen + due)).ravel(), sums.real, sums.imag]))
 
     def message(flat: np.ndarray) -> pa.RecordBatch:
         mark = xxhash.xxh64_intdigest(flat.tobytes()) >> 1

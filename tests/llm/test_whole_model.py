@@ -81,3 +81,42 @@ def test_sums_of_many_tasks_are_added_by_a_tree(frame, monkeypatch):
         got.append(scoring.round_counts(encoded.select("ids"), weights, leaves, fixed, 2400))
     assert all(np.allclose(a, b, rtol=0.03, atol=0.05) for a, b in zip(*got)) and got[0][1].sum() > 0
     assert scoring.tasks_of(0, 6) == 6 and scoring.tasks_of(10**12, 6) > 100_000
+
+
+def test_gradient_and_curvature_come_from_every_token(frame):
+    docs = frame([f"w{i % 11} v{i} u{i * 7 % 1000} x t{i % 999} s{i % 899} {'o n' if i < 3000 else 'n o'}" for i in range(6000)])
+    words = scoring.word_counts(docs)
+    head = scoring.head_words(words)
+    encoded = scoring.cut(scoring.encode(docs.coalesce(1), head))
+    counts = scoring.head_counts(encoded)
+    classes = scoring.Classes(counts)
+    tree = scoring.Tree(words, head, counts, classes, words.count())
+    leaves = np.sin(np.arange(1 << 12)).astype(np.float32) / 4
+    fixed = encoded.sparkSession.sparkContext.broadcast((classes, tree))
+    got = scoring.round_counts(encoded.select("ids"), scoring.first_weights(counts, classes, 1 << 14), leaves, fixed, 4000)[2]
+    texts = [np.frombuffer(r["ids"], "<u4") for r in encoded.collect()]
+    ids, raw = np.concatenate(texts), np.concatenate([scoring.history(x, np.array([0])) for x in texts], axis=1)
+    is_open = classes.kind[np.minimum(ids, scoring.RARE)] == 0
+    cells, h = tree.cells(ids)[is_open].astype(np.uint64), raw[1:, is_open] >> np.uint64(20) & np.uint64(2**32 - 1)
+    assert len(cells) > 3 * scoring.TREE_CHUNK
+    want = np.zeros((2, len(leaves)))
+    for level in range(tree.levels):
+        node, right = (1 << level) + (cells >> np.uint64(tree.levels - level)), cells >> np.uint64(tree.levels - level - 1) & np.uint64(1)
+        at = ((h ^ node * np.uint64(0x9E3779B1) & np.uint64(2**32 - 1)) * np.uint64(0x85EBCA6B) & np.uint64(2**32 - 1)) >> np.uint64(20)
+        p = 1 / (1 + np.exp(-(tree.logit[node] + leaves[at].sum(axis=0, dtype=np.float64))))
+        for f in at:
+            want += [np.bincount(f.astype(np.int64), weights=x, minlength=len(leaves)) for x in (right - p, p * (1 - p))]
+    assert np.allclose(got[0], want[0], rtol=0.01, atol=0.01) and np.allclose(got[1], want[1], rtol=0.01, atol=0.01)
+
+
+def test_every_training_document_is_in_one_round(frame, monkeypatch):
+    docs = frame([f"w{i % 7} w{i % 5} x" for i in range(600)])
+    words = scoring.word_counts(docs)
+    head = scoring.head_words(words)
+    encoded = scoring.cut(scoring.encode(docs, head))
+    counts = scoring.head_counts(encoded)
+    classes = scoring.Classes(counts)
+    seen, own = [], scoring.round_counts
+    monkeypatch.setattr(scoring, "round_counts", lambda part, *rest: (seen.extend(r["uid"] for r in part.collect()), own(part, *rest))[1])
+    scoring.fit(encoded, counts, classes, scoring.Tree(words, head, counts, classes, words.count()))
+    assert sorted(seen) == sorted(r["uid"] for r in encoded.filter("NOT held_out").collect())
